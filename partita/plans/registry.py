@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from partita.plans import votes
+from partita.plans import notes, votes
 
+MODULES = (notes,)
 QUERIES = {"p3_found": votes.p3_found, "p3_state": votes.p3_state}
 ORACLE: dict[str, str] = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE |= _m.ORACLE
+FLAGSHIP = "clean_verdict_counts"

@@ -10,7 +10,7 @@ from partita.tables import table
 
 
 def _micros(c: str):
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c})")
 
 
 def _row_id(session: str, t: str):
