@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from partita.plans import notes, votes
+from partita.plans import corpus, notes, ordered, votes
 
-MODULES = (notes,)
+MODULES = (corpus, notes, ordered)
 QUERIES = {"p3_found": votes.p3_found, "p3_state": votes.p3_state}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
-FLAGSHIP = "clean_verdict_counts"
+FLAGSHIP = "corpus_report"
