@@ -73,35 +73,43 @@ class VectorTable:
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Gives each change without a target the newest row standing at its time; in time order within one cut.
+    """Gives each change without a target the newest row standing at its time, in time order within each (group, cut).
 
     kind 0: a row is added (t its time, death the time it is deleted by name or None); 1: update; 2: delete.
     Returns the resolved changes, those for which nothing stood in the cut, and the rows standing at its end.
     """
-    pdf = pdf.sort_values(["t", "kind", "row"], kind="stable", na_position="first")
+    pdf = pdf.sort_values(["grp", "cut", "t", "kind", "row"], kind="stable", na_position="first")
     stack: list[tuple[int, str, int | None]] = []
-    out = []
-    for t, kind, row, death, change in zip(pdf["t"].tolist(), pdf["kind"].tolist(), pdf["row"].tolist(), pdf["death"].tolist(), pdf["change"].tolist()):
-        death = None if death is None or death != death else int(death)
+    out, at = [], None
+    cols = (pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in ("grp", "cut", "t", "kind", "row", "death", "change"))
+    for grp, cut, t, kind, row, death, change in zip(*cols):
+        if (grp, cut) != at:
+            if at:
+                out += [(*at, None, r, x, 0, d, True) for x, r, d in stack]
+            stack, at = [], (grp, cut)
         if kind == 0:
             stack.append((t, row, death))
             continue
         while stack and stack[-1][2] is not None and stack[-1][2] <= t:
             stack.pop()
-        if stack:
-            out.append((change, stack[-1][1], t, kind, None, False))
-            if kind == 2:
-                stack.pop()
-        else:
-            out.append((change, None, t, kind, None, False))
-    out += [(None, row, t, 0, death, True) for t, row, death in stack]
-    g, c = pdf["grp"].iloc[0], int(pdf["cut"].iloc[0])
-    return pd.DataFrame([(g, c, *x) for x in out], columns=["grp", "cut", "change", "row", "t", "kind", "death", "left"]).astype({"death": "Int64"})
+        out.append((grp, cut, change, stack[-1][1] if stack else None, t, kind, None, False))
+        if stack and kind == 2:
+            stack.pop()
+    if at:
+        out += [(*at, None, r, x, 0, d, True) for x, r, d in stack]
+    return pd.DataFrame(out, columns=["grp", "cut", "change", "row", "t", "kind", "death", "left"]).astype({"death": "Int64"})
 
 
 FOLDED = "grp string, cut long, change string, row string, t long, kind int, death long, left boolean"
 
 
+def _folded(ev: DataFrame) -> DataFrame:
+    """_fold over tasks of about CHUNK events, each holding whole (group, cut)s."""
+    n = max(1, -(-ev.count() // CHUNK))
+    of = F.pmod(F.xxhash64("grp", "cut"), F.lit(n))
+    return ev.withColumn("_of", of).groupBy("_of").applyInPandas(lambda pdf: _fold(pdf.drop(columns="_of")), FOLDED)
+
+
 def resolve_unnamed(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """(change, row): for each change that names no row, the newest row of its group standing at its time.
 
@@ -115,7 +123,8 @@ def resolve_unnamed(rows: DataFrame, changes: DataFrame) -> DataFrame:
     ev = rows.join(groups, "grp", "left_semi").select("grp", "row", "t", F.lit(0).alias("kind"), "death", F.lit(None).cast("string").alias("change"))
     ev = ev.unionByName(changes.select("grp", F.lit(None).cast("string").alias("row"), "t", "kind", F.lit(None).cast("long").alias("death"), "change"))
     ev = ranked(ev, ["grp"], [F.col("t"), F.col("kind"), F.col("row"), F.col("change")]).withColumn("cut", F.floor((F.col("pos") - 1) / CHUNK)).drop("pos")
-    first = stash(ev.groupBy("grp", "cut").applyInPandas(_fold, FOLDED), "folded")
+    ev = stash(ev, "cuts")
+    first = stash(_folded(ev), "folded")
     found = first.filter("kind > 0 and row is not null").select("change", "row")
     open_ = first.filter("kind > 0 and row is null and cut > 0")
     if open_.limit(1).count() == 0:
@@ -125,7 +134,7 @@ def resolve_unnamed(rows: DataFrame, changes: DataFrame) -> DataFrame:
     newest = Window.partitionBy("grp", "cut").orderBy(F.col("t").desc(), F.col("row").desc())
     kept = left.filter("death is null").withColumn("_r", F.row_number().over(newest)).filter("_r <= _need").drop("_r").unionByName(left.filter("death is not null"))
     again = kept.drop("_need").unionByName(open_).withColumn("cut", F.lit(0).cast("long"))
-    second = again.select("grp", "cut", "t", "kind", "row", "death", "change").groupBy("grp").applyInPandas(_fold, FOLDED)
+    second = _folded(stash(again.select("grp", "cut", "t", "kind", "row", "death", "change"), "again"))
     return found.unionByName(second.filter("kind > 0 and row is not null").select("change", "row"))
 
 
