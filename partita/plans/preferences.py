@@ -31,10 +31,11 @@ _RAT = f"""{LBL}, rt AS (SELECT pair_id AS excerpt_id, CASE choice WHEN 'left' T
 
 
 def ceiling(s, d):
-    """Votes replayed with an index against the majority of the first votes."""
-    l = _l(s, d).withColumn("replay", F.col("idx").isNotNull())
-    rep = l.filter("replay").withColumn("ord", F.struct("ts", "session_id", F.coalesce("choice", F.lit(""))))
-    return _r(P.repeat_ceiling(rep, P.majority(l.filter("not replay")).select("pair_id", F.col("winner").alias("original"))))
+    """The last later vote of each pair against its first, where that was decided."""
+    l = _l(s, d).withColumn("ord", F.struct("ts", "session_id", F.coalesce("choice", F.lit(""))))
+    first = l.groupBy("pair_id").agg(F.min("ord").alias("o"), F.min_by("preferred", "ord").alias("original"))
+    rep = l.join(first.select("pair_id", "o"), "pair_id").filter("ord > o")
+    return _r(P.repeat_ceiling(rep, first.filter(F.col("original").isin("a", "b")).select("pair_id", "original")))
 
 
 def _judged(s, d):
@@ -220,8 +221,8 @@ ORACLE = {
     "majority_vote": f"WITH {LBL} SELECT pair_id, CASE WHEN 2 * count(*) FILTER (preferred = 'a') > count(*) THEN 'a' ELSE 'b' END AS winner, count(*) AS n_votes FROM lb WHERE preferred IN ('a', 'b') GROUP BY 1 HAVING 2 * count(*) FILTER (preferred = 'a') <> count(*)",
     "consistency_majority": f"WITH {LBL}, c AS (SELECT count(*) FILTER (preferred = 'a') AS a, count(*) AS n FROM lb WHERE preferred IN ('a', 'b') GROUP BY pair_id HAVING count(*) > 1) SELECT round(sum(greatest(a, n - a)) / sum(n), 9) AS consistency, sum(n)::BIGINT AS votes FROM c",
     "consistency_consecutive": f"WITH {_RAT}, x AS (SELECT abs(rating - lag(rating) OVER (PARTITION BY excerpt_id ORDER BY ord)) AS d FROM rt WHERE rating IS NOT NULL) SELECT count(*) AS pairs, round(avg((d = 0)::INT), 9) AS exact, round(avg(d), 9) AS mean_abs_diff FROM x WHERE d IS NOT NULL",
-    "relabel_ceiling": f"""WITH {LBL}, o AS (SELECT pair_id, CASE WHEN 2 * count(*) FILTER (preferred = 'a') > count(*) THEN 'a' ELSE 'b' END AS original FROM lb WHERE idx IS NULL AND preferred IN ('a', 'b') GROUP BY 1 HAVING 2 * count(*) FILTER (preferred = 'a') <> count(*)),
-      r AS (SELECT * FROM lb WHERE idx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY ts DESC, session_id DESC, coalesce(choice, '') DESC) = 1),
+    "relabel_ceiling": f"""WITH {LBL}, n AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ts, session_id, coalesce(choice, '')) AS i, rank() OVER (PARTITION BY pair_id ORDER BY ts, session_id, coalesce(choice, '')) AS ri FROM lb),
+      o AS (SELECT pair_id, preferred AS original FROM n WHERE i = 1 AND preferred IN ('a', 'b')), r AS (SELECT * FROM n WHERE ri > 1 QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY ts DESC, session_id DESC, coalesce(choice, '') DESC) = 1),
       g AS (SELECT count(*) FILTER (preferred IN ('a', 'b')) AS n, count(*) FILTER (preferred IN ('a', 'b') AND preferred = original) AS a, count(*) FILTER (NOT coalesce(preferred IN ('a', 'b'), false) AND coalesce(choice <> 'bad', true)) AS ab, count(*) FILTER (NOT coalesce(preferred IN ('a', 'b'), false) AND choice = 'bad') AS bad FROM r JOIN o USING (pair_id))
       SELECT n, round(a / n, 9) AS self_consistency, round(sqrt((a / n) * (1 - a / n) / n), 9) AS se, ab AS n_abstained, bad AS n_bad, round(ab / (n + ab), 9) AS skip_rate, round(a / (n + ab), 9) AS floor FROM g""",
     "ratings_aggregate": f"WITH {_RAT}, f AS (SELECT excerpt_id, max(ord) FILTER (revision) AS f FROM rt WHERE rating IS NOT NULL GROUP BY 1) SELECT excerpt_id, round(avg(rating), 9) AS rating, count(*) AS n FROM rt JOIN f USING (excerpt_id) WHERE rating IS NOT NULL AND (f IS NULL OR ord >= f) GROUP BY 1",

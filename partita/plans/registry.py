@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partita.plans import corpus, notes, ordered, preferences, votes
+from partita.plans import corpus, notes, ordered, preferences, tokens, votes
 
-MODULES = (corpus, notes, ordered, preferences)
+MODULES = (corpus, notes, ordered, preferences, tokens)
 QUERIES = {"p3_found": votes.p3_found, "p3_state": votes.p3_state}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:
