@@ -9,6 +9,7 @@ table of BUCKETS hashed counters whose size doesn't depend on the corpus.
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -49,6 +50,7 @@ _LEAD = re.compile(r"^[ \t]*(?:[>*#•·-]+[ \t]+|\d{1,3}[.)][ \t]+)+")
 _LINK = re.compile(r"https?://\S+|\[([^\]\n]*)\]\([^)\n]*\)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"[.!?…]+(?=[\"'»”)\]]*(?:\s|$))|\n{2,}")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _CLAUSE = re.compile(r"[,;:()–—]|\s-\s")
 _ABBREVIATION = re.compile(r"\b(?:cf|ff|pp?|vgl|bzw|z\.\s?b|e\.g|i\.e|etc|no|nr|fig|bd|vol|ca|ed|eds|op)\.", re.I)
 
@@ -88,28 +90,25 @@ def bucket(word: str) -> int:
 _BARE_CONNECTIVES = frozenset(_bare(w) for w in CONNECTIVES)
 
 
+@functools.lru_cache(maxsize=200_000)
 def _is_word(token: str) -> bool:
     w = token.strip("\"'.,;:!?()[]{}«»“”„¿¡…*_–—-`")
     return bool(w) and all(c.isalpha() or c in "'’-/" for c in w) and (len(w) > 1 or w.lower() in "aiyoeàóúè&")
 
 
-def _lines(text: str) -> list[tuple[str, int, int]]:
-    """(line, tokens, tokens that are words) of the lines that aren't blank."""
-    out = []
-    for line in text.split("\n"):
-        tokens = line.split()
-        if tokens:
-            out.append((line, len(tokens), sum(map(_is_word, tokens))))
-    return out
+@functools.lru_cache(maxsize=200_000)
+def _facts(word: str) -> tuple[str, int, int, bool]:
+    """(bare word, bucket, letters, whether a connective)."""
+    w = _bare(word)
+    return w, bucket(w), len(w.replace("-", "").replace("'", "").replace("\u2019", "")), w in _BARE_CONNECTIVES
 
 
 def prose_of(text: str) -> str:
-    """The lines that are mostly words in lower or title or upper case; lines of notes, chords, numbers and code are dropped."""
+    """The lines of which at least half are words of two letters or more, and blank ones; lines of notes, chords, numbers and code are dropped."""
     keep = []
     for line in text.split("\n"):
         tokens = line.split()
-        words = sum(1 for t in tokens if _is_word(t) and len(t.strip(".,;:!?()")) > 1)
-        if not tokens or words >= 0.5 * len(tokens):
+        if not tokens or 2 * sum(1 for t in tokens if len(t) > 1 and _is_word(t) and len(t.strip(".,;:!?()")) > 1) >= len(tokens):
             keep.append(line)
     return "\n".join(keep)
 
@@ -119,15 +118,11 @@ SHAPE = ("letters", "digits", "symbols", "words", "long_words", "plain_end")
 
 def shape_features(text: str) -> list[float]:
     """What a cleaned text is made of; for the prose model."""
-    lines = _lines(text)
-    chars = [c for c in text if not c.isspace()]
-    n, tokens = max(1, len(chars)), max(1, sum(x[1] for x in lines))
-    words = sum(x[2] for x in lines)
-    plain = [t for t in text.split() if _is_word(t)]
-    return [
-        sum(c.isalpha() for c in chars) / n, sum(c.isdigit() for c in chars) / n, sum(not c.isalnum() for c in chars) / n,
-        words / tokens, sum(len(t) > 2 for t in plain) / tokens, sum(t[-1] in ".,;:!?" for t in plain) / max(1, len(plain)),
-    ]
+    tokens = text.split()
+    n, count = max(1, sum(map(len, tokens))), max(1, len(tokens))
+    letters, digits = sum(map(len, _LETTERS.findall(text))), sum(map(len, _DIGITS.findall(text)))
+    plain = [t for t in tokens if _is_word(t)]
+    return [letters / n, digits / n, (n - letters - digits) / n, len(plain) / count, sum(len(t) > 2 for t in plain) / count, sum(t[-1] in ".,;:!?" for t in plain) / max(1, len(plain))]
 
 
 LEVEL = ("sentence_length", "word_length", "long_words", "clause_depth", "connectives", "diversity", "rarity", "length_x_word")
@@ -136,22 +131,25 @@ LEVEL = ("sentence_length", "word_length", "long_words", "clause_depth", "connec
 def level_features(text: str, rarity: np.ndarray) -> list[float]:
     """How a cleaned text's prose is written; for the level model. `rarity`: bits of each bucket."""
     prose = _ABBREVIATION.sub(lambda m: m.group()[:-1], prose_of(text))
-    sentences = [(s, n) for s in _END.split(prose) if s and (n := len(_WORD.findall(s)))]
-    words = [_bare(w) for w in _WORD.findall(prose)]
-    if not words:
+    sentences, found = [], []
+    for sentence in _END.split(prose):
+        here = _WORD.findall(sentence) if sentence else []
+        if here:
+            sentences.append((sentence, len(here)))
+            found += here
+    if not found:
         return [0.0] * len(LEVEL)
+    words, buckets, letters, connective = zip(*map(_facts, found))
+    n, joined = len(words), sum(connective)
     # each word counts its own sentence's length, so that a heading or a stray line weighs little
-    length = sum(n * n for _, n in sentences) / max(1, sum(n for _, n in sentences))
-    marks = sum(len(_CLAUSE.findall(s)) for s, _ in sentences) + sum(w in _BARE_CONNECTIVES for w in words)
-    letters = [len(w.replace("-", "").replace("'", "").replace("’", "")) for w in words]
-    size = min(WINDOW, len(words))
-    step = max(1, size // 2)
-    spans = [len(set(words[i : i + size])) / size for i in range(0, len(words) - size + 1, step)]
-    bits = sum(rarity[bucket(w)] for w in words) / len(words)
-    mean = sum(letters) / len(letters)
+    length = sum(k * k for _, k in sentences) / n
+    marks = sum(len(_CLAUSE.findall(s)) for s, _ in sentences) + joined
+    size = min(WINDOW, n)
+    spans = [len(set(words[i : i + size])) / size for i in range(0, n - size + 1, max(1, size // 2))]
+    bits, mean = float(rarity[np.array(buckets)].mean(dtype=np.float64)), sum(letters) / n
     return [
-        math.log(length + 1), mean, sum(x >= 10 for x in letters) / len(letters), math.log1p(marks / max(1, len(sentences))),
-        sum(w in _BARE_CONNECTIVES for w in words) / len(words), sum(spans) / len(spans), float(bits), math.log(length + 1) * mean / 10,
+        math.log(length + 1), mean, sum(x >= 10 for x in letters) / n, math.log1p(marks / len(sentences)),
+        joined / n, sum(spans) / len(spans), bits, math.log(length + 1) * mean / 10,
     ]
 
 
@@ -160,17 +158,16 @@ def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(BUCKETS, dtype=np.int64)
-        known: dict[str, int] = {}
         for b in batches:
+            found: list[int] = []
             for t in texts_of(b.column(0)):
                 if t:
-                    for w in _WORD.findall(clean(t)):
-                        k = known.get(w)
-                        if k is None:
-                            if len(known) > 300_000:
-                                known.clear()
-                            k = known[w] = bucket(_bare(w))
-                        acc[k] += 1
+                    found += [_facts(w)[1] for w in _WORD.findall(clean(t))]
+                if len(found) > 1_000_000:
+                    acc += np.bincount(found, minlength=BUCKETS)
+                    found = []
+            if found:
+                acc += np.bincount(found, minlength=BUCKETS)
         at = np.flatnonzero(acc)
         for lo in range(0, len(at), 100_000):
             part = at[lo : lo + 100_000]
