@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partita.plans import corpus, notes, ordered, preferences, streams, tokens, votes
+from partita.plans import corpus, notes, ordered, preferences, requests, streams, tokens, votes
 
-MODULES = (corpus, notes, ordered, preferences, streams, tokens)
+MODULES = (corpus, notes, ordered, preferences, requests, streams, tokens)
 QUERIES = {"p3_found": votes.p3_found, "p3_state": votes.p3_state}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:

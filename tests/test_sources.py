@@ -161,3 +161,22 @@ def test_note_and_token_streams(spark, tmp_path, rocks):
 def test_resume(spark):
     todo = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     assert streams.resume(todo, spark.createDataFrame([("b",)], "k string"), "k").collect() == [("a",)]
+
+
+def test_archive_samples(spark, tmp_path):
+    import io
+    import tarfile
+
+    from partita.sources import archives
+
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        for i in range(30):
+            info = tarfile.TarInfo(f"d/{i}.{'mid' if i % 2 else 'txt'}")
+            info.size = 3
+            t.addfile(info, io.BytesIO(b"abc"))
+    spark.dataSource.register(archives.TarDataSource)
+    got = spark.read.format("tarsample").option("n", 4).option("skip", 3).load(str(tmp_path)).collect()
+    assert len(got) == 4 and all(r.member.endswith(".mid") and bytes(r.content) == b"abc" for r in got)
+    spark.createDataFrame([(i, bytes([i])) for i in range(50)], "i int, midi binary").write.parquet(str(tmp_path / "p"))
+    a, b = (sorted(bytes(r.content) for r in archives.parquet_sample(spark, str(tmp_path / "p"), 7, 1).collect()) for _ in range(2))
+    assert a == b and len(set(a)) == 7
