@@ -77,13 +77,12 @@ def pitch_classes(notes: DataFrame) -> DataFrame:
 
 def detect_key(hists: DataFrame) -> DataFrame:
     """Adds tonic and mode: the best correlated of 24 rotated profiles, the earliest of equals (tonics upward, major first). No notes: 0, major."""
-    spark = hists.sparkSession
     rows = [(2 * t + k, t, mode, [p[(i - t) % 12] for i in range(12)]) for t in range(12) for k, (mode, p) in enumerate((("major", MAJOR), ("minor", MINOR)))]
-    profiles = F.broadcast(spark.createDataFrame(rows, "ord int, tonic int, mode string, profile array<double>"))  # always 24 rows
+    profiles = F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(t).alias("tonic"), F.lit(m).alias("mode"), F.array(*map(F.lit, p)).alias("profile")) for o, t, m, p in rows))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / 12
     total = F.aggregate("hist", F.lit(0.0), lambda s, x: s + x)
     share = F.when(total > 0, F.transform("hist", lambda x: x / total)).otherwise(F.col("hist"))
-    x = hists.withColumn("_s", share).withColumn("_s", F.transform("_s", lambda v: v - mean(F.col("_s")))).crossJoin(profiles)
+    x = hists.withColumn("_s", share).withColumn("_s", F.transform("_s", lambda v: v - mean(F.col("_s")))).withColumn("_k", F.explode(profiles)).select("*", "_k.*")
     x = x.withColumn("_p", F.transform("profile", lambda v: v - mean(F.col("profile"))))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot("_s", "_s")) * F.sqrt(dot("_p", "_p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partita.functions import notes as N
 from partita.functions import tokens as T
+from partita.tables import with_totals
 
 MOST_SPAN, CONTEXT, MOST_NOTES = 4, 16, 600
 # Data-issue flags a rater may set: fixed values.
@@ -120,7 +121,7 @@ def shard_weights(shards: DataFrame, mixture: dict[str, float], block: int) -> D
     for key, v in reversed(list(mixture.items())):
         f = F.when(F.contains(F.col("name"), F.lit(key)), F.lit(float(v))).otherwise(f)
     x = shards.withColumn("w", w * f)
-    return x.crossJoin(F.broadcast(x.agg(F.sum("w").alias("t")))).select("name", (F.col("w") / F.col("t")).alias("prob"))
+    return with_totals(x, t=F.sum("w")).select("name", (F.col("w") / F.col("t")).alias("prob"))
 
 
 def densest_track(notes: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.operators.components import connected_components, salted_join
-from partita.operators.positions import ranked
-from partita.tables import stash
+from partita.operators.positions import at_share, group_quantiles, ranked
+from partita.tables import stash, with_totals
 
 
 def sha1_mod(text: Column, m: int = 1_000_000) -> Column:
@@ -67,17 +67,14 @@ def guard(manifest: DataFrame, held_out: DataFrame, key: str = "stem") -> None:
 def group_summary(df: DataFrame, by: str) -> DataFrame:
     """Files, notes, medians, and the duration at index int(0.95 n) of the sorted durations, for each group.
 
-    The index is an exact rank: durations are counted by value before they are windowed, so a group holds one row for
-    each distinct duration.
+    Medians and the rank are exact positions in a distributed order, so no group has to fit into one task.
     """
-    v = df.groupBy(by, "duration_seconds").agg(F.count(F.lit(1)).alias("c"))
-    run = v.withColumn("r", F.sum("c").over(Window.partitionBy(by).orderBy("duration_seconds"))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    p95 = run.filter(F.col("r") > F.floor(F.col("n") * 0.95)).groupBy(by).agg(F.min("duration_seconds").alias("p"))
-    g = df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("n_notes").alias("total_notes"), F.floor(F.median("n_notes")).alias("median_notes"), F.round(F.median("duration_seconds"), 1).alias("median_duration_s"),
-        F.floor(F.median("n_tracks")).alias("median_tracks"),
-    )
-    return g.join(p95, by).withColumn("p95_duration_s", F.round("p", 1)).drop("p")
+    df = stash(df.select(by, "n_notes", "duration_seconds", "n_tracks"), "sizes")
+    out = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_notes").alias("total_notes"))
+    for c, name in (("n_notes", "median_notes"), ("duration_seconds", "median_duration_s"), ("n_tracks", "median_tracks")):
+        m = group_quantiles(df, [by], c, [0.5])
+        out = out.join(m.select(by, (F.round("q0", 1) if c == "duration_seconds" else F.floor("q0")).alias(name)), by, "left")
+    return out.join(at_share(df, [by], "duration_seconds", 0.95).select(by, F.round("duration_seconds", 1).alias("p95_duration_s")), by, "left")
 
 
 # ---- samples: hash order stands for a seeded shuffle ----
@@ -99,7 +96,7 @@ def sample_per_group(df: DataFrame, by: str, key: str, k: int, seed: str = "0")
 def stratified(df: DataFrame, by: str, key: str, n: int, seed: str = "0") -> DataFrame:
     """max(1, round(n x share)) rows of each group, halves to even."""
     c = df.groupBy(by).agg(F.count(F.lit(1)).alias("_c"))
-    c = c.crossJoin(c.agg(F.sum("_c").alias("_t"))).select(by, F.greatest(F.lit(1), F.bround(F.col("_c") * n / F.col("_t"))).cast("int").alias("_k"))
+    c = with_totals(c, _t=F.sum("_c")).select(by, F.greatest(F.lit(1), F.bround(F.col("_c") * n / F.col("_t"))).cast("int").alias("_k"))
     d = df.withColumn("_h", shuffled(F.col(key), seed)).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64))).join(c, by)
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_salt").orderBy("_h", key))).filter("_r <= _k")
     return d.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_h", key))).filter("_r <= _k").drop("_h", "_salt", "_k", "_r")
@@ -113,9 +110,9 @@ def round_robin(df: DataFrame, by: str, key: str, n: int, seed: str = "0") -> Da
 
 def quotas(sizes: DataFrame, n: int) -> DataFrame:
     """group, want: n shared by weight (halves to even); what a group cannot supply goes to those with room, by their room. sizes: group, weight, have."""
-    t = sizes.crossJoin(sizes.agg(F.sum("weight").alias("_w"))).withColumn("want", F.bround(F.lit(n) * F.col("weight") / F.col("_w")).cast("long"))
+    t = with_totals(sizes, _w=F.sum("weight")).withColumn("want", F.bround(F.lit(n) * F.col("weight") / F.col("_w")).cast("long"))
     t = t.withColumn("room", F.greatest(F.col("have") - F.col("want"), F.lit(0)))
-    t = t.crossJoin(t.agg(F.sum(F.greatest(F.col("want") - F.col("have"), F.lit(0))).alias("_short"), F.sum("room").alias("_room")))
+    t = with_totals(t, _short=F.sum(F.greatest(F.col("want") - F.col("have"), F.lit(0))), _room=F.sum("room"))
     more = F.when((F.col("room") > 0) & (F.col("_short") > 0), F.bround(F.col("_short") * F.col("room") / F.col("_room"))).otherwise(0).cast("long")
     return t.select("group", "have", F.least(F.col("want") + more, F.col("have")).alias("want"))
 
@@ -128,13 +125,19 @@ def blind_repeats(df: DataFrame, key: str, d: int, seed: str = "0") -> DataFrame
     return ranked(rows.withColumn("_all", F.lit(0)).withColumn("_h", h), ["_all"], [F.col("_h"), F.col(key), F.col("is_repeat")]).select(key, "is_repeat", (F.col("pos") - 1).alias("idx"))
 
 
+MOST_GROUPS = 1000
+
+
 def weighted_pick(draws: DataFrame, weights: DataFrame, u: Column) -> DataFrame:
-    """Each draw with the group whose stretch of the cumulative weights (in group order) holds u. weights: group, weight; few rows."""
-    w = weights.filter("weight > 0")
-    t = w.crossJoin(w.agg(F.sum("weight").alias("_t"))).withColumn("hi", F.sum("weight").over(Window.orderBy("group")) / F.col("_t"))
-    t = t.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("group"))).select("group", "lo", "hi")
-    return draws.withColumn("_u", u).join(F.broadcast(t.agg(F.sort_array(F.collect_list(F.struct("hi", "group"))).alias("_c"))), F.lit(True)).withColumn(
-        "group", F.element_at(F.filter("_c", lambda x: x["hi"] > F.col("_u")), 1)["group"]).drop("_c", "_u")
+    """Each draw with the group whose stretch of the cumulative weights (in group order) holds u. weights: group, weight; at most MOST_GROUPS rows, which become one constant."""
+    rows = sorted((r["group"], r["weight"]) for r in weights.filter("weight > 0").select("group", "weight").limit(MOST_GROUPS + 1).collect())
+    if len(rows) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    total, at, cuts = sum(w for _, w in rows), 0.0, []
+    for g, w in rows:
+        at += w
+        cuts.append(F.struct(F.lit(at / total).alias("hi"), F.lit(g).alias("group")))
+    return draws.withColumn("group", F.try_element_at(F.filter(F.array(*cuts), lambda x: x["hi"] > u), F.lit(1))["group"] if cuts else F.lit(None).cast("string"))
 
 
 def shard_packing(docs: DataFrame, by: list[str], order: list[Column], shard: int, size: str = "tokens") -> DataFrame:

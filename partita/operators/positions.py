@@ -31,3 +31,36 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], weight: str | No
         here = Window.partitionBy(*keys, "_pid").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("start", F.col("_woff") + F.coalesce(F.sum(weight).over(here), F.lit(0)))
     return out.drop("_m", "_pid", "_first", "_off", "_woff")
+
+
+def group_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
+    """by, q0, q1, ...: exact linearly interpolated quantiles of each group; null values are left out, NaN is the greatest.
+
+    Values are counted, ranked over a range partition, and only the rows at the wanted positions are kept, so
+    neither a group nor its distinct values have to fit into one task.
+    """
+    v = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    keys = by or ["_all"]
+    if not by:
+        v = v.withColumn("_all", F.lit(0))
+    r = ranked(v, keys, [F.col(value)], weight="_c")
+    n = r.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    r = r.join(n, keys)
+    sums = []
+    for i, q in enumerate(qs):
+        at = F.lit(float(q)) * (F.col("_n") - 1)
+        lo, hi = F.floor(at), F.ceil(at)
+        has = lambda p: (F.col("start") <= p) & (p < F.col("start") + F.col("_c"))  # noqa: B023, E731
+        sums += [F.max(F.when(has(lo), F.col(value).cast("double"))).alias(f"_lo{i}"), F.max(F.when(has(hi), F.col(value).cast("double"))).alias(f"_hi{i}"), F.max(at - lo).alias(f"_f{i}")]
+    g = r.groupBy(*keys).agg(*sums)
+    part = lambda i: F.when(F.col(f"_f{i}") == 0, F.col(f"_lo{i}")).otherwise((1 - F.col(f"_f{i}")) * F.col(f"_lo{i}") + F.col(f"_f{i}") * F.col(f"_hi{i}"))
+    return g.select(*by, *(part(i).alias(f"q{i}") for i in range(len(qs))))
+
+
+def at_share(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+    """by, value: the value at index int(share x n), from 0, of each group's values in ascending order."""
+    v = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    r = ranked(v, by, [F.col(value)], weight="_c")
+    r = r.join(r.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
+    at = F.floor(F.col("_n") * F.lit(share))
+    return r.filter((F.col("start") <= at) & (at < F.col("start") + F.col("_c"))).select(*by, value)

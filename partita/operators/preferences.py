@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.operators.positions import group_quantiles
+
 
 def canonical_vote(choice: Column, left_is: Column, right_is: Column) -> Column:
     """The side chosen: a or b for left and right, other choices as they are."""
@@ -100,8 +102,8 @@ def group_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
 def calibration(probs: DataFrame, bins: int = 4) -> DataFrame:
     """bin, predicted, empirical, n: every winner-first probability counts as p with a hit and 1 - p without; bins by quantile, the last one closed."""
     x = probs.select(F.explode(F.array(F.struct(F.col("p").alias("p"), F.lit(1.0).alias("y")), F.struct((1 - F.col("p")).alias("p"), F.lit(0.0).alias("y")))).alias("s")).select("s.*")
-    e = x.agg(F.percentile("p", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("e"))
-    x = x.crossJoin(F.broadcast(e)).withColumn("bin", F.size(F.filter("e", lambda v: v <= F.col("p"))))
+    e = group_quantiles(x, [], "p", [k / bins for k in range(1, bins)]).first() or ()
+    x = x.withColumn("bin", sum((F.when(F.col("p") >= v, 1).otherwise(0) for v in e), F.lit(0)))
     return x.groupBy("bin").agg(F.avg("p").alias("predicted"), F.avg("y").alias("empirical"), F.count(F.lit(1)).alias("n"))
 
 
@@ -165,7 +167,7 @@ class Ridge:
 
 def fit_ridge(df: DataFrame, cols: list[str], y: str, alpha: float) -> Ridge:
     """Medians fill nulls, then one pass sums the Gram matrix; only (d + 2)^2 numbers reach the driver."""
-    med = df.agg(*(F.coalesce(F.median(F.when(~F.isnan(c), F.col(c))), F.lit(0.0)).alias(c) for c in cols)).first().asDict()
+    med = {c: (group_quantiles(df.filter(~F.isnan(c)), [], c, [0.5]).first() or [0.0])[0] for c in cols}
     x = df.select(y, *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(med[c]))).alias(c) for c in cols))
     return Ridge.from_sums(gram(x, cols, y).first().asDict(), cols, alpha, [med[c] for c in cols])
 

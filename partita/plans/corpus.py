@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from partita.functions import notes as N
 from partita.operators import corpus as C
 from partita.plans.notes import NOTES, _n
-from partita.tables import clean_source, clean_source_sql, table
+from partita.operators.positions import group_quantiles
+from partita.tables import clean_source, clean_source_sql, table, with_totals
 
 SRC = clean_source_sql()
 STEM = r"regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^(.*?)(\.[^.]*)?$', 1)"
@@ -110,8 +111,8 @@ def weighted(s, d):
 def quartiles(s, d):
     """Bucket of each scored file: how many of the three quartile edges its score has reached."""
     q = table(s, d, "quality_scores").filter("quality is not null and not isnan(quality)").groupBy("path").agg(F.max("quality").alias("quality"))
-    e = q.agg(F.percentile("quality", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
-    return q.crossJoin(F.broadcast(e)).select("path", F.size(F.filter("e", lambda x: x <= F.col("quality"))).alias("bucket"))
+    e = group_quantiles(q, [], "quality", [0.25, 0.5, 0.75]).first() or ()
+    return q.select("path", sum((F.when(F.col("quality") >= x, 1).otherwise(0) for x in e), F.lit(0)).alias("bucket"))
 
 
 def score_summary(s, d):
@@ -139,14 +140,14 @@ def mixture(s, d):
     q = F.when(F.col("source").isin("aria", "lakh"), F.concat_ws("_", F.col("split"), F.col("source"), F.lit("q1"), F.col("shard"))).otherwise(F.concat_ws("_", F.col("split"), F.col("source"), F.col("shard")))
     p = p.withColumn("parts", F.split(q, "_")).withColumn("tag", F.when(F.size("parts") == 3, F.element_at("parts", 2)).otherwise("(untagged)"))
     x = p.groupBy("tag").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("shards"))
-    return x.crossJoin(x.agg(F.sum("tokens").alias("t"))).select("tag", "tokens", "shards", F.round(F.col("tokens") / F.col("t"), 9).alias("prob"))
+    return with_totals(x, t=F.sum("tokens")).select("tag", "tokens", "shards", F.round(F.col("tokens") / F.col("t"), 9).alias("prob"))
 
 
 def size_registry(s, d):
     """Estimated notes of each source: files x its whole-number average, or x the corpus average for sources with under 200 measured files."""
     g = _good(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_notes").alias("t"))
     files = _m(s, d).groupBy("source").agg(F.count_distinct("path").alias("files"))
-    x = files.join(g, "source", "left").crossJoin(F.broadcast(g.agg((F.sum("t") / F.sum("n")).alias("avg"))))
+    x = with_totals(files.join(g, "source", "left"), avg=F.sum("t") / F.sum("n"))
     return x.select("source", "files", F.when(F.col("n") >= 200, F.col("files") * F.expr("t div n")).otherwise(F.floor(F.col("files") * F.col("avg"))).alias("estimate"), F.coalesce(F.col("n") >= 200, F.lit(False)).alias("measured"))
 
 

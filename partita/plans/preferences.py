@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from partita.operators import preferences as P
+from partita.operators.positions import group_quantiles
 from partita.tables import clean_source, clean_source_sql, table
 
 LBL = "lb AS (SELECT DISTINCT ts, session_id, pair_id, idx, choice, left_is, right_is, preferred, left_model, right_model, corrected_from FROM labels WHERE pair_id <> '' AND ts IS NOT NULL)"
@@ -157,7 +158,8 @@ def scorecard(s, d):
     """Mean, median, sample and population deviation of three metrics of the manifest, of finite values only, by source; six digits."""
     m = table(s, d, "manifest").distinct().select(clean_source(F.col("source"), F.col("path")).alias("source"), F.explode(F.create_map(F.lit("notes"), F.col("n_notes").cast("double"), F.lit("seconds"), F.col("duration_seconds"), F.lit("tracks"), F.col("n_tracks").cast("double"))).alias("metric", "v"))
     m = m.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    return m.groupBy("source", "metric").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.round(F.coalesce(F.nanvl(F.stddev_samp("v"), F.lit(0.0)), F.lit(0.0)), 6).alias("std"), F.count(F.lit(1)).alias("n"))
+    med = group_quantiles(m, ["source", "metric"], "v", [0.5]).select("source", "metric", F.round("q0", 6).alias("median"))
+    return med.join(m.groupBy("source", "metric").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.coalesce(F.nanvl(F.stddev_samp("v"), F.lit(0.0)), F.lit(0.0)), 6).alias("std"), F.count(F.lit(1)).alias("n")), ["source", "metric"])
 
 
 def compare(s, d):

@@ -9,7 +9,7 @@ from partita.functions import tokens as T
 from partita.plans import corpus as PC
 from partita.plans.notes import NOTES, SPT, TPQ, _n
 from partita.plans.tokens import _T, _text, _toks
-from partita.tables import table
+from partita.tables import table, with_totals
 
 
 def _r(df, n=9):
@@ -84,7 +84,7 @@ def build_summary(s, d):
     v = PC._verdict(PC._m(s, d)).groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("verdict") == "ok").alias("ok"), *(F.count_if(F.col("verdict") == r).alias(r) for r in ("unparseable", "too_few_notes", "too_sparse", "too_dense")))
     p = PC.shard_plan(s, d).groupBy("source").agg(F.sum("take").alias("tokens"), F.count_distinct("split", "shard").alias("shards"))
     x = v.join(p, "source", "left")
-    return _r(x.crossJoin(F.broadcast(x.agg(F.sum("tokens").alias("t")))).withColumn("share", F.round(F.col("tokens") / F.col("t"), 3)).drop("t"))
+    return _r(with_totals(x, t=F.sum("tokens")).withColumn("share", F.round(F.col("tokens") / F.col("t"), 3)).drop("t"))
 
 
 def cluster_dump(s, d):

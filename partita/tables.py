@@ -70,3 +70,10 @@ def clean_source(source: Column, path: Column) -> Column:
 def clean_source_sql(source: str = "source", path: str = "path") -> str:
     """The same rule for DuckDB."""
     return f"coalesce(nullif(regexp_replace(lower({source}), '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_extract(lower({path}), '/raw/([^/]+)/', 1), ''))"
+
+
+def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
+    """df with one-row aggregates of itself as constant columns; one job, no join."""
+    row = df.agg(*(c.alias(k) for k, c in totals.items())).first()
+    kinds = dict(df.agg(*(c.alias(k) for k, c in totals.items())).dtypes)
+    return df.withColumns({k: F.lit(row[k]).cast(kinds[k]) for k in totals})
