@@ -159,3 +159,21 @@ def listed_order(sources: DataFrame) -> DataFrame:
     """Adds rank: those with work left first, by configured place, then the newest."""
     w = Window.orderBy(F.col("todo") == 0, F.coalesce("place", F.lit(1 << 30)), F.col("newest").desc(), "id")
     return sources.withColumn("rank", F.row_number().over(w))
+
+
+def bars_spanned(notes: DataFrame, tpq: int) -> DataFrame:
+    """file_id, bars: from the first onset to the last end, in bars of four beats."""
+    return notes.groupBy("file_id").agg(((F.max(F.col("start") + F.col("duration")) - F.min("start")) / F.lit(4.0 * tpq)).alias("bars"))
+
+
+def sampled_span(bars: Column, key: Column, most: int = MOST_SPAN) -> tuple[Column, Column]:
+    """(start, length) of a gap by hash of key: 1 to `most` bars with a kept bar on each side; nulls for files under three bars."""
+    u = lambda salt: F.pmod(F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit(salt), key.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(1_000_000_007))
+    n = 1 + F.pmod(u("n"), F.greatest(F.lit(1), F.least(F.lit(most), bars - 2)))
+    return F.when(bars >= 3, 1 + F.pmod(u("s"), F.greatest(F.lit(1), bars - n - 1))), F.when(bars >= 3, n)
+
+
+def infill_report(sides: DataFrame) -> DataFrame:
+    """empty_rate, short_rate, density_ratio, pc_fit: means over model sides, of the values that are numbers."""
+    mean = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
+    return sides.agg(F.avg(F.col("empty").cast("double")).alias("empty_rate"), F.avg((~F.col("bars_ok")).cast("double")).alias("short_rate"), mean("density_ratio").alias("density_ratio"), mean("pc_fit").alias("pc_fit"))

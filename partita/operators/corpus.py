@@ -191,7 +191,10 @@ def minhash(df: DataFrame, key: str, sh: str) -> DataFrame:
             for i in range(rb.num_rows):
                 x = np.asarray(rb.column(1)[i].values).view(np.uint64)
                 with np.errstate(over="ignore"):
-                    sigs.append(((a[:, None] * x[None, :] + b[:, None]) % np.uint64(MERSENNE)).min(1).view(np.int64))
+                    h = a[:, None] * x[None, :] + b[:, None]
+                    h = (h & np.uint64(MERSENNE)) + (h >> np.uint64(61))  # the remainder, or MERSENNE above it
+                    h -= np.where(h >= np.uint64(MERSENNE), np.uint64(MERSENNE), np.uint64(0))
+                    sigs.append(h.min(1).view(np.int64))
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(sigs, pa.list_(pa.int64()))], names=[key, "sig"])
 
     return df.filter(F.size(sh) > 0).select(key, sh).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, sig array<bigint>")

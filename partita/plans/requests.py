@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from partita.functions import notes as N
 from partita.functions import requests as Q
 from partita.functions import tokens as T
 from partita.plans import corpus as PC
 from partita.plans.notes import NOTES, SPT, TPQ, _n
 from partita.plans.tokens import _T, _text, _toks
-from partita.tables import table, with_totals
+from partita.tables import clean_source_sql, table, with_totals
 
 
 def _r(df, n=9):
@@ -115,6 +116,35 @@ def source_order(s, d):
     return Q.listed_order(x.withColumn("place", F.when(F.col("id") == "fma", 0).when(F.col("id") == "aria", 1))).select("id", F.col("rank"))
 
 
+def sampled_spans(s, d):
+    e = Q.bars_spanned(_n(s, d), TPQ).withColumn("n", F.floor(F.col("bars") / 4))
+    a, b = Q.sampled_span(F.col("n"), F.col("file_id"))
+    return e.select("file_id", F.round("bars", 9).alias("bars"), a.alias("start"), b.alias("span"))
+
+
+def infill(s, d):
+    """Each file's middle 40 beats as a fill: mean rates over all files."""
+    from partita.plans.ordered import gap_split
+
+    g = gap_split(s, d).withColumn("empty", F.col("fill") == 0).withColumn("bars_ok", F.col("fill") > 3).withColumn("pc_fit", F.when(F.col("file_id") % 5 == 0, float("nan")).otherwise(F.col("fill") / F.lit(10.0)))
+    return _r(Q.infill_report(g.withColumn("density_ratio", F.coalesce("density_ratio", F.lit(float("nan"))))), 6)
+
+
+def cards(s, d):
+    """Scorecards side by side: metrics down, sources across, with the direction that is better."""
+    from partita.plans.preferences import scorecard
+
+    x = scorecard(s, d).groupBy("metric").pivot("source", ["aria", "lakh", "lamd"]).agg(F.first("mean"))
+    return x.withColumn("better", F.when(F.col("metric") == "notes", "higher").otherwise("none"))
+
+
+def steered(s, d):
+    fam = lambda k: F.element_at(F.array(*map(F.lit, N.FAMILIES)), (F.pmod(F.col("file_id") + k, F.lit(16)) + 1).cast("int"))
+    x = _n(s, d).select("file_id").distinct()
+    names = F.array(*map(F.lit, ("Inst_Organ", "Tempo_3", "Density_1")))
+    return x.select("file_id", F.array_join(T.with_instruments(names, F.array(fam(5), F.lit("Drums"), fam(0), fam(5))), " ").alias("header"))
+
+
 def gbt(s, d):
     """Held-out error of boosted trees beside the mean, on grouped halves (a report, as trees differ between versions)."""
     from pyspark.ml.feature import VectorAssembler
@@ -131,7 +161,7 @@ def gbt(s, d):
 QUERIES = {
     "degeneracy": lambda s, d: _r(Q.degeneracy(_n(s, d).withColumn("pitch", F.when(F.col("file_id") % 4 == 0, F.lit(60).cast("long")).otherwise(F.col("pitch") % 5)))), "velocity_scale": loudness, "span_requests": spans, "path_text_rules": text_rules, "track_spec": specs, "weight_spec": weights,
     "judge_prompts": prompt_texts, "prompt_cuts": prompts_cut, "fragment_rule": fragments, "shard_sampling_weights": shard_probs, "doc_start_anchors": anchors, "build_summary": build_summary, "cluster_dump": cluster_dump, "flag_whitelist": flags, "untagged_counts": languages,
-    "densest_track": lambda s, d: Q.densest_track(_n(s, d)), "piece_analysis": lambda s, d: _r(Q.piece_analysis(_n(s, d), TPQ, 120.0)), "note_roll": lambda s, d: Q.note_roll(_n(s, d), SPT, 60.0), "repair_counts": repaired, "source_order": source_order, "gbt_report": gbt,
+    "densest_track": lambda s, d: Q.densest_track(_n(s, d)), "piece_analysis": lambda s, d: _r(Q.piece_analysis(_n(s, d), TPQ, 120.0)), "note_roll": lambda s, d: Q.note_roll(_n(s, d), SPT, 60.0), "repair_counts": repaired, "source_order": source_order, "gbt_report": gbt, "sampled_spans": sampled_spans, "infill_report": infill, "scorecard_compare": cards, "header_steering": steered,
     "log_partitions": lambda s, d: table(s, d, "labels").filter("ts is not null").select(*(c.alias(a) for c, a in zip(Q.log_partition(F.col("ts")), ("day", "time")))).groupBy("day").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.count(F.lit(1)).alias("n")),
 }
 
@@ -169,5 +199,14 @@ ORACLE = {
     "note_roll": f"WITH {NOTES} SELECT file_id, note_idx, floor(start * {_SP} * 1000 + 0.5) / 1000 AS t, floor(duration * {_SP} * 1000 + 0.5) / 1000 AS d, pitch, is_drum AS drum, start * {_SP} < 60 AS prompt FROM notes",
     "repair_counts": "WITH m AS (SELECT pair_id, max(n_notes_a) AS stored, max(n_notes_b) AS actual FROM pair_meta WHERE mode = 'accompany' AND pair_id <> '' GROUP BY 1) SELECT * FROM m WHERE stored IS DISTINCT FROM actual",
     "source_order": f"""WITH {PC._M}, x AS (SELECT source AS id, count(*) FILTER (n_notes IS NULL) AS todo, max(n_notes) AS newest FROM m GROUP BY 1) SELECT id, row_number() OVER (ORDER BY todo = 0, CASE id WHEN 'fma' THEN 0 WHEN 'aria' THEN 1 ELSE 1073741824 END, newest DESC, id)::INT AS rank FROM x""",
+    "sampled_spans": f"""WITH {NOTES}, e AS (SELECT file_id, (max(start + duration) - min(start)) / 14400.0::DOUBLE AS bars FROM notes GROUP BY 1), n AS (SELECT *, floor(bars / 4)::BIGINT AS n, ('0x' || substr(sha1('n:' || file_id), 1, 8))::BIGINT % 1000000007 AS un, ('0x' || substr(sha1('s:' || file_id), 1, 8))::BIGINT % 1000000007 AS us FROM e),
+      k AS (SELECT *, 1 + un % greatest(1, least(4, n - 2)) AS k FROM n) SELECT file_id, round(bars, 9) AS bars, CASE WHEN n >= 3 THEN 1 + us % greatest(1, n - k - 1) END AS start, CASE WHEN n >= 3 THEN k END AS span FROM k""",
+    "infill_report": f"""WITH {NOTES}, g AS (SELECT file_id, floor(avg(start))::BIGINT AS lo, floor(avg(start))::BIGINT + 144000 AS hi FROM notes GROUP BY 1),
+      x AS (SELECT file_id, lo, hi, count(*) FILTER (start >= lo AND start < hi) AS fill, count(*) FILTER (NOT (start >= lo AND start < hi)) AS kept, max(start + duration) AS e FROM notes JOIN g USING (file_id) GROUP BY ALL), y AS (SELECT *, greatest(1e-9, (greatest(e, hi) - (hi - lo)) / 14400.0::DOUBLE) AS kb FROM x)
+      SELECT round(avg((fill = 0)::INT), 6) AS empty_rate, round(avg((fill <= 3)::INT), 6) AS short_rate, round(avg(round(CASE WHEN kept > 0 THEN (fill / 10.0::DOUBLE) / (kept / round(kb, 6)) END, 6)), 6) AS density_ratio, round(avg(fill / 10) FILTER (file_id % 5 <> 0), 6) AS pc_fit FROM y""",
+    "scorecard_compare": f"""WITH m AS (SELECT {clean_source_sql()} AS source, unnest(['notes', 'seconds', 'tracks']) AS metric, unnest([n_notes::DOUBLE, duration_seconds, n_tracks::DOUBLE]) AS v FROM (SELECT DISTINCT * FROM manifest))
+      SELECT metric, {', '.join(f"round(avg(v) FILTER (source = '{x}'), 6) AS {x}" for x in ('aria', 'lakh', 'lamd'))}, CASE WHEN metric = 'notes' THEN 'higher' ELSE 'none' END AS better FROM m WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1""",
+    "header_steering": f"""WITH f AS (SELECT DISTINCT user_id AS file_id FROM events), x AS (SELECT file_id, unnest([(file_id + 5) % 16, 16, file_id % 16]) AS r FROM f)
+      SELECT file_id, string_agg('Inst_' || {[*N.FAMILIES, N.DRUMS]}[r + 1], ' ' ORDER BY r) || ' Density_1 Tempo_3' AS header FROM (SELECT DISTINCT * FROM x) GROUP BY 1""",
     "log_partitions": "SELECT strftime(ts, '%Y-%m-%d') AS day, min(strftime(ts, '%H%M%S')) AS first, max(strftime(ts, '%H%M%S')) AS last, count(*) AS n FROM labels WHERE ts IS NOT NULL GROUP BY 1",
 }

@@ -180,3 +180,30 @@ def test_archive_samples(spark, tmp_path):
     spark.createDataFrame([(i, bytes([i])) for i in range(50)], "i int, midi binary").write.parquet(str(tmp_path / "p"))
     a, b = (sorted(bytes(r.content) for r in archives.parquet_sample(spark, str(tmp_path / "p"), 7, 1).collect()) for _ in range(2))
     assert a == b and len(set(a)) == 7
+
+
+def test_sinks(spark, tmp_path):
+    import datetime as dt
+
+    from partita.sources import sinks
+
+    m = spark.createDataFrame([("/x/raw/lakh/a.mid", 5, 1, 2.0, "h"), ("/y/raw/aria/b.mid", None, 1, 2.0, "h"), ("odd", 1, 1, 1.0, None)], logs.MANIFEST)
+    sinks.write_manifest(m, str(tmp_path / "m"))
+    assert logs.strict(spark, str(tmp_path / "m"), logs.MANIFEST).exceptAll(m).count() == 0
+    sinks.write_by_source(m, str(tmp_path / "s"))
+    assert {p.name for p in (tmp_path / "s").glob("source=*")} == {"source=lakh", "source=aria", "source=unknown"}
+    sinks.append_metrics(spark.createDataFrame([(1, 0.5, None)], "step int, lr double, val double"), str(tmp_path / "csv"))
+    sinks.append_metrics(spark.createDataFrame([(2, 0.5, 1.0)], "step int, lr double, val double"), str(tmp_path / "csv"))
+    assert sorted(map(tuple, spark.read.schema("step int, lr double, val double").option("header", True).csv(str(tmp_path / "csv")).collect())) == [(1, 0.5, None), (2, 0.5, 1.0)]
+    sinks.write_scores(spark.createDataFrame([("a", 1.23456)], "path string, quality double"), str(tmp_path / "q"))
+    assert spark.read.json(str(tmp_path / "q")).first().quality == 1.2346
+    sinks.write_pool(spark.createDataFrame([("s", "a", True), ("s", "b", False)], "source string, path string, picked boolean"), str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p" / "pool")).select("picked", "available").first() == (1, 2)
+    spark.createDataFrame([(dt.datetime(2026, 1, 2, 3), "r")], "time timestamp, id string").write.parquet(str(tmp_path / "req"))
+    src = spark.readStream.schema("time timestamp, id string").parquet(str(tmp_path / "req"))
+    sinks.request_log(src, str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
+    assert (tmp_path / "log" / "date=2026-01-02").exists()
+    (tmp_path / "blocked").write_text("a file where the folder should be")
+    q = sinks.request_log(src, str(tmp_path / "blocked" / "x"), str(tmp_path / "ck2"))
+    q.awaitTermination()
+    assert q.exception() is None

@@ -121,3 +121,17 @@ def test_seeded_sampler():
     assert sample_top_k(logits, 0.0, top_k=4, eos=0, hold_eos=True) == 1
     with pytest.raises(ValueError):
         sample_top_k(logits, 0.5, ban=(0, 1, 2, 3))
+
+
+def test_older_augmentation_and_schemes(spark):
+    import json
+
+    ids = np.array([V["Pitch_125"], V["PitchDrum_36"], V["Velocity_127"]])
+    assert names(T.shift_clipped(ids, 6, 2)) == ["Pitch_127", "PitchDrum_36", "Velocity_127"]
+    bars = {"config": {"special_tokens": [*T.SPECIALS, *T.header_vocab()], "num_velocities": 32}, "tokenization": "REMI"}
+    assert T.load_scheme(json.dumps(bars)) == "bars" and T.load_scheme('{"config": {"special_tokens": ["PAD_None"]}}') == "events"
+    bars["config"]["special_tokens"].append("Foo_1")
+    with pytest.raises(ValueError):
+        T.load_scheme(json.dumps(bars))
+    with pytest.raises(Exception, match="not an instrument family"):
+        spark.range(1).select(T.with_instruments(F.array(F.lit("Tempo_1")), F.array(F.lit("Kazoo")))).collect()
