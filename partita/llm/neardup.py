@@ -138,16 +138,16 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(ROWS):
                 key = _mix(key * _U(31) + sig[:, i::ROWS][:, :BANDS] + np.arange(BANDS, dtype=_U))
         keys = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column("cls"), keys], names=["cls", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), keys], names=["id", "keys"])
 
 
 def pairs_within(df: DataFrame, key: str, id_: str) -> DataFrame:
-    """(a, b), a < b: all pairs of ids that share a key, each once.
+    """(a, b), a < b: all pairs of ids that share a key, each once. Each (key, id) of df must come once.
 
     Groups of over CELL ids are cut into k blocks by hash and joined cell by cell (block i with block j), so that a
     hot group's pairs are spread over k(k+1)/2 join keys.
     """
-    df = stash(df.select(key, id_).distinct(), "members")
+    df = stash(df.select(key, id_), "members")
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("deg")).filter("deg > 1").withColumn("k", F.ceil(F.col("deg") / CELL).cast("int"))
     m = salted_join(df, n, key, id_, df.count())
     m = m.withColumn("blk", F.pmod(F.xxhash64(id_), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -179,12 +179,15 @@ def near_duplicates(notes: DataFrame, threshold: float = THRESHOLD, run: int = R
     rows = notes.filter("path is not null and pitches is not null").select("path", "pitches")
     shaped = stash(rows.mapInArrow(_shape(multiset, run, least), "path string, cls binary, codes array<long>, counts array<int>"), "shaped")
     members = stash(shaped.groupBy("path").agg(F.max(F.struct(F.size("codes").alias("n"), "cls")).alias("m")).select("path", "m.cls"), "members")
-    reps = stash(shaped.groupBy("cls").agg(F.first("codes").alias("codes"), F.first("counts").alias("counts")).join(members.select("cls").distinct(), "cls", "left_semi"), "reps")
-    keys = reps.mapInArrow(_bands, "cls binary, keys array<long>").select("cls", F.explode("keys").alias("key"))
-    pairs = stash(pairs_within(keys, "key", "cls"), "candidates")
-    side = lambda s: reps.select(F.col("cls").alias(s), F.col("codes").alias(f"c{s}"), F.col("counts").alias(f"n{s}"))
+    reps = shaped.groupBy("cls").agg(F.first("codes").alias("codes"), F.first("counts").alias("counts")).join(members.select("cls").distinct(), "cls", "left_semi")
+    reps = stash(reps.withColumn("id", F.monotonically_increasing_id()), "reps")  # written once, so the short ids stay
+    keys = reps.mapInArrow(_bands, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    pairs = stash(pairs_within(keys, "key", "id"), "candidates")
+    side = lambda s: reps.select(F.col("id").alias(s), F.col("codes").alias(f"c{s}"), F.col("counts").alias(f"n{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "na", "cb", "nb")
-    links = full.mapInArrow(_overlap, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
+    near = stash(full.mapInArrow(_overlap, "a long, b long, similarity double").filter(F.col("similarity") >= threshold), "near")
+    name = lambda s: reps.select(F.col("id").alias(s), F.col("cls").alias(f"k{s}"))
+    links = near.join(name("a"), "a").join(name("b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "similarity")
     return members, stash(links, "links")
 
 
