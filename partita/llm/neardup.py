@@ -112,20 +112,53 @@ def runs_of(pitches: list, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code, return_counts=True)
 
 
+def runs_of_batch(pitches: pa.ListArray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count) of runs_of() for every list of a batch, by row and code; lists with nulls or steps beyond eight bits go one by one."""
+    lengths = np.asarray(pitches.value_lengths().fill_null(0)).astype(np.int64)
+    values = pitches.flatten()
+    ends = np.cumsum(lengths)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    apart = np.zeros(len(lengths), dtype=bool)
+    if values.null_count:
+        apart[row[np.asarray(values.is_null())]] = True
+    flat = np.asarray(values.fill_null(0)).astype(np.int64)
+    step = np.diff(flat)
+    apart[row[:-1][(np.abs(step) > 127) & (row[:-1] == row[1:])]] = True
+    n = max(0, len(flat) - run)
+    code = np.zeros(n, dtype=np.int64)
+    for i in range(run):
+        code += (np.clip(step[i : i + n], -128, 127) + 128) << (8 * i)
+    at = row[:n]
+    keep = (np.arange(n) + run < ends[at]) & ~apart[at] if run <= 7 else np.zeros(n, dtype=bool)
+    at, code = at[keep], code[keep]
+    rows, codes = [at], [code]
+    for r in np.flatnonzero(apart if run <= 7 else lengths > 0):
+        c, k = runs_of(pitches[int(r)].as_py(), run)
+        rows.append(np.full(int(k.sum()), r))
+        codes.append(np.repeat(c, k))
+    at, code = np.concatenate(rows), np.concatenate(codes)
+    order = np.lexsort((code, at))
+    at, code = at[order], code[order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
+    first = np.flatnonzero(new)
+    return at[first], code[first], np.diff(np.append(first, len(at)))
+
+
 def _shape(multiset: bool, run: int, least: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths, cls, codes, counts = [], [], [], []
-            for path, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c, n = runs_of(p, run)
-                if len(c) < least:
-                    continue
-                n = n.astype(np.int32) if multiset else np.ones(len(c), np.int32)
-                paths.append(path)
-                cls.append(hashlib.md5(c.tobytes() + n.tobytes()).digest())
-                codes.append(c)
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(cls, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["path", "cls", "codes", "counts"])
+            for lo in range(0, b.num_rows, 2000):
+                paths, lists = b.column(0).slice(lo, 2000), b.column(1).slice(lo, 2000)
+                at, code, count = runs_of_batch(lists, run)
+                count = count.astype(np.int32) if multiset else np.ones(len(code), np.int32)
+                size = np.bincount(at, minlength=len(paths))
+                kept = np.flatnonzero(size >= max(1, least))
+                take = np.isin(at, kept)
+                code, count = code[take], count[take]
+                ends = np.concatenate([[0], np.cumsum(size[kept])]).astype(np.int32)
+                cls = [hashlib.md5(code[i:j].tobytes() + count[i:j].tobytes()).digest() for i, j in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([paths.take(pa.array(kept)), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(code)), pa.ListArray.from_arrays(ends, pa.array(count))], names=["path", "cls", "codes", "counts"])
 
     return go
 

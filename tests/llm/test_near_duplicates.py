@@ -34,6 +34,18 @@ def test_runs():
     assert len(neardup.runs_of([0, 100_000, 0, 5, 9, 2, 1, 7])[0]) == 2 and len(neardup.runs_of([])[0]) == 0
 
 
+@pytest.mark.parametrize("run", [1, 6, 7, 9])
+def test_runs_of_a_batch_equal_runs_of_each(run):
+    rnd = random.Random(run)
+    lists = [None, [], [60], [60, 62] * 40, [None] * 9, [0, 300, 5, 9, 2, 1, 7, 8, 400, 3, 3, 3, 3], [60, None, 61, 62, 63, 64, 65, 66, 67, 68, 69]] + [[rnd.randrange(55, 60) for _ in range(rnd.randrange(60))] for _ in range(60)]
+    rnd.shuffle(lists)
+    col = pa.array([[1]] + lists + [[2, 3]], pa.list_(pa.int32())).slice(1, len(lists))
+    at, code, count = neardup.runs_of_batch(col, run)
+    for i, x in enumerate(lists):
+        c, n = neardup.runs_of(x or [], run)
+        assert code[at == i].tolist() == c.tolist() and count[at == i].tolist() == n.tolist()
+
+
 def brute(files, threshold):
     sets = {}
     for p, x in files:
