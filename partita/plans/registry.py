@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from partita.plans import corpus, notes, ordered, preferences, requests, streams, tokens, votes
 
-MODULES = (corpus, notes, ordered, preferences, requests, streams, tokens)
-QUERIES = {"p3_found": votes.p3_found, "p3_state": votes.p3_state}
+MODULES = (votes, corpus, notes, ordered, preferences, requests, streams, tokens)
+QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:
     QUERIES |= _m.QUERIES

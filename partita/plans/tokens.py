@@ -220,6 +220,9 @@ ORACLE = {
     "instrument_alias": """SELECT * FROM (VALUES ('Synth Lead', 'SynthLead', false), ('synth_lead', 'SynthLead', false), ('KEYS', 'Piano', false), ('Drum-Kit', 'Drums', false), ('808', 'Bass', false), ('unknown thing', NULL, false), ('auto', NULL, true), ('', NULL, true),
       ('Sound FX', 'SoundFX', false), ('saxophone', 'Reed', false), ('Piano', 'Piano', false)) v(name, family, auto)""",
     "map_ops": "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value, 'k,z' AS keys FROM events",
+    "vocabulary": """SELECT family, n, first FROM (VALUES ('PAD', 1, 0), ('BOS', 1, 1), ('EOS', 1, 2), ('SEP', 1, 3), ('MASK', 1, 4), ('Task', 2, 5), ('Inst', 17, 7), ('Density', 4, 24), ('Poly', 3, 28), ('Range', 3, 31), ('Tempo', 7, 34), ('Source', 9, 41), ('Genre', 16, 50),
+      ('Quality', 4, 66), ('Bar', 1, 70), ('Pitch', 128, 71), ('Velocity', 32, 199), ('Duration', 64, 231), ('Position', 96, 295), ('PitchDrum', 62, 391), ('Program', 129, 453), ('TimeSig', 16, 582)) v(family, n0, first), LATERAL (SELECT n0::BIGINT AS n)""",
+    "ban_ids": "SELECT i::INT AS id, i BETWEEN 391 AND 453 AS drums, i BETWEEN 71 AND 198 OR i BETWEEN 454 AND 581 AS pitched, i < 70 AS structural FROM range(598) t(i) WHERE i < 70 OR i BETWEEN 71 AND 198 OR i BETWEEN 391 AND 581",
     "training_windows": f"""WITH {NOTES}, {_T}, b AS (SELECT *, list_filter(range(len(ids)), lambda i: ids[i + 1] = {BAR} AND i <= len(ids) - 33) AS st FROM ts WHERE len(ids) > 40), c AS (SELECT *, coalesce(st[file_id % greatest(len(st), 1) + 1], 0)::INT AS a0 FROM b)
       SELECT file_id, a0 AS "at", list_filter(list_slice(ids, 1, a0), lambda t: t {_PROG})[-1] AS program, {_join('list_slice(ids, a0 + 1, a0 + 32)')} AS x, {_join('list_slice(ids, a0 + 2, a0 + 33)')} AS y FROM c""",
 }

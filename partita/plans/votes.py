@@ -73,3 +73,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     several = cast_votes(labels).groupBy("pair_id").count().filter("count > 1").select("pair_id")
     cases = named.unionAll(late).unionAll(several).filter("pair_id <> ''").distinct()
     return newest_standing(labels, corrections).join(cases, "pair_id", "left_semi").select("pair_id", "choice")
+
+
+QUERIES = {"p3_found": p3_found, "p3_state": p3_state}
+
+_STATE = r"""WITH RECURSIVE lb AS (SELECT DISTINCT pair_id, coalesce(session_id, '') AS session_id, epoch_us(ts) AS t, corrected_from IS NOT NULL AS later, coalesce(corrected_from, choice) AS choice, choice AS now, epoch_us(corrected_at) AS cat
+   FROM labels WHERE pair_id <> '' AND ts IS NOT NULL),
+ v AS (SELECT pair_id, session_id, t, choice FROM lb QUALIFY row_number() OVER (PARTITION BY pair_id, session_id, t ORDER BY later, choice IS NULL, choice) = 1),
+ cc AS (SELECT coalesce(nullif(pair_id, ''), nullif(original.pair_id, ''), nullif(removed.pair_id, '')) AS pair_id, epoch_us(ts) AS t, regexp_replace(lower(coalesce(action, '')), '\s+', '', 'g') AS a, coalesce(to_choice, new_choice) AS value, epoch_us(original.ts) AS o, epoch_us(removed.ts) AS r FROM corrections),
+ ch AS (SELECT pair_id, cat AS t, 1 AS kind, t AS target, now AS value FROM lb WHERE later AND cat IS NOT NULL UNION SELECT pair_id, t, CASE WHEN a = 'undo' THEN 2 ELSE 1 END, CASE WHEN a = 'undo' THEN r ELSE o END, CASE WHEN a <> 'undo' THEN value END
+   FROM cc WHERE pair_id IS NOT NULL AND t IS NOT NULL AND (a = 'undo' OR (a = '' AND value IS NOT NULL))),
+ ev AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY t, kind, target, value) AS i FROM (SELECT pair_id, t, 0 AS kind, t AS target, choice AS value FROM v UNION ALL SELECT * FROM ch)),
+ st AS (SELECT DISTINCT pair_id, 0::BIGINT AS i, []::STRUCT(t BIGINT, c VARCHAR)[] AS s FROM ev UNION ALL
+  SELECT st.pair_id, ev.i, CASE kind WHEN 0 THEN list_append(s, {'t': ev.t, 'c': value}) WHEN 1 THEN list_transform(s, lambda x: CASE WHEN x.t = coalesce(target, s[-1].t) THEN {'t': x.t, 'c': value} ELSE x END)
+    ELSE list_filter(s, lambda x: x.t <> coalesce(target, s[-1].t)) END FROM st JOIN ev ON ev.pair_id = st.pair_id AND ev.i = st.i + 1),
+ fin AS (SELECT pair_id, s FROM st QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY i DESC) = 1),
+ out AS (SELECT pair_id, s[-1].c AS choice, len(s)::BIGINT AS standing FROM fin WHERE len(s) > 0)"""
+
+ORACLE = {
+    "p3_state": f"{_STATE} SELECT * FROM out",
+    "p3_found": f"""{_STATE}, cases AS (SELECT pair_id FROM cc UNION SELECT pair_id FROM labels WHERE corrected_from IS NOT NULL UNION SELECT pair_id FROM v GROUP BY 1 HAVING count(*) > 1)
+      SELECT pair_id, choice FROM out WHERE pair_id IN (SELECT pair_id FROM cases WHERE pair_id <> '')""",
+}
