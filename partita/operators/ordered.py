@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.operators.positions import at_share
+
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], t: str, cols: list[str], bucket: int | None = None) -> DataFrame:
@@ -191,7 +193,7 @@ def held_under(low: DataFrame, high: DataFrame, margin: int) -> DataFrame:
 def split_hands(notes: DataFrame, tpq: int) -> DataFrame:
     """file_id, split, n_low, n_high, held, accepted: pitched notes split at the median pitch, kept within 50..67."""
     p = notes.filter(~F.col("is_drum"))
-    mid = p.groupBy("file_id").agg(F.sort_array(F.collect_list("pitch")).alias("ps")).select("file_id", F.greatest(F.lit(50), F.least(F.lit(67), F.element_at("ps", F.floor(F.size("ps") / 2).cast("int") + 1))).alias("split"))
+    mid = at_share(p, ["file_id"], "pitch", 0.5).select("file_id", F.greatest(F.lit(50), F.least(F.lit(67), F.col("pitch"))).alias("split"))
     x = p.join(mid, "file_id")
     low, high = x.filter("pitch < split"), x.filter("pitch >= split")
     n = x.groupBy("file_id", "split").agg(F.count_if(F.col("pitch") < F.col("split")).alias("n_low"), F.count_if(F.col("pitch") >= F.col("split")).alias("n_high"))

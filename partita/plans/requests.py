@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from partita.functions import notes as N
 from partita.functions import requests as Q
 from partita.functions import tokens as T
+from partita.operators.positions import ranked
 from partita.plans import corpus as PC
 from partita.plans.notes import NOTES, SPT, TPQ, _n
 from partita.plans.tokens import _T, _text, _toks
@@ -89,8 +90,8 @@ def build_summary(s, d):
 
 
 def cluster_dump(s, d):
-    """Each near-duplicate cluster as one row with its sorted paths."""
-    return PC.dup_clusters(s, d).groupBy("cluster").agg(F.array_join(F.sort_array(F.collect_list("path")), "\n").alias("paths"), F.count(F.lit(1)).alias("n"))
+    """Each near-duplicate cluster's paths in order, with their place; a cluster of any size is written row by row."""
+    return ranked(PC.dup_clusters(s, d).select("cluster", "path"), ["cluster"], [F.col("path")]).select("cluster", F.col("pos").alias("place"), "path")
 
 
 def flags(s, d):
@@ -188,7 +189,7 @@ ORACLE = {
     "doc_start_anchors": f"""WITH {PC._M}, {PC._OK}, {PC._SHARD}, x AS (SELECT split, source, shard, max("offset" + take) AS n, list("offset") AS o FROM sp WHERE "first" = 0 GROUP BY ALL) SELECT split, source, shard, len(o)::INT AS docs, len(list_filter(o, lambda z: z <= n - 2049))::INT AS anchors FROM x""",
     "build_summary": f"""WITH {PC._M}, {PC._OK}, {PC._SHARD}, v AS (SELECT source, {PC._V} AS verdict FROM m), f AS (SELECT source, count(*) AS files, count(*) FILTER (verdict = 'ok') AS ok, {', '.join(f"count(*) FILTER (verdict = '{r}') AS {r}" for r in ('unparseable', 'too_few_notes', 'too_sparse', 'too_dense'))} FROM v GROUP BY 1),
       t AS (SELECT source, sum(take)::BIGINT AS tokens, count(DISTINCT (split, shard)) AS shards FROM sp GROUP BY 1) SELECT f.*, tokens, shards, round(tokens / sum(tokens) OVER (), 3) AS share FROM f LEFT JOIN t USING (source)""",
-    "cluster_dump": f"{PC._CLUSTER} SELECT cluster, string_agg(path, chr(10) ORDER BY path) AS paths, count(*) AS n FROM co GROUP BY 1",
+    "cluster_dump": f"{PC._CLUSTER} SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY path) AS place, path FROM co",
     "flag_whitelist": f"""WITH k AS (SELECT pair_id, unnest(map_keys(flags)) AS side, unnest(map_values(flags)) AS fs FROM labels WHERE flags IS NOT NULL), f AS (SELECT pair_id, side, unnest(fs) AS flag FROM k) SELECT side, flag, count(DISTINCT pair_id) AS pairs, flag IN {Q.FLAGS} AS known FROM f GROUP BY ALL""",
     "untagged_counts": "WITH x AS (SELECT source, lower(regexp_replace(lang, '-.*', '')) AS lang FROM documents) SELECT source, count(*) FILTER (lang IS NULL OR lang = 'und') AS untagged, count(*) FILTER (lang = 'en') AS en, count(*) AS n FROM x GROUP BY 1",
     "densest_track": f"WITH {NOTES}, c AS (SELECT file_id, track_name, count(*) AS n, min(note_idx) AS i FROM notes GROUP BY ALL) SELECT file_id, track_name, n FROM c QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC, i) = 1",
