@@ -162,3 +162,31 @@ def test_statistics_of_constants_and_empties(spark):
 def test_quota_shortfall_goes_to_those_with_room(spark):
     s = spark.createDataFrame([("a", 1.0, 2), ("b", 1.0, 100), ("c", 2.0, 60)], "group string, weight double, have int")
     assert {r.group: r.want for r in C.quotas(s, 100).collect()} == {"a": 2, "b": 25 + 20, "c": 50 + 3}
+
+
+def test_quantiles_and_shares_by_rank(spark):
+    import random
+
+    from partita.operators.positions import at_share, group_quantiles
+
+    rnd = random.Random(6)
+    rows = [("a" if i % 3 else "b", rnd.choice([1.0, 2.0, 2.5, rnd.random() * 10])) for i in range(701)] + [("one", 4.0), ("none", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r[0]: list(r)[1:] for r in group_quantiles(df, ["g"], "v", qs).collect()}
+    for g in ("a", "b", "one"):
+        x = sorted(v for k, v in rows if k == g and v is not None)
+        assert np.allclose(got[g], np.quantile(x, qs))
+        assert at_share(df, ["g"], "v", 0.95).filter(F.col("g") == g).first().v == x[int(len(x) * 0.95)]
+    assert set(got) == {"a", "b", "one"}
+    assert np.allclose(list(group_quantiles(df, [], "v", qs).first()), np.quantile([v for _, v in rows if v is not None], qs))
+    assert group_quantiles(df.limit(0), [], "v", qs).count() == 0
+
+
+def test_salted_join_equals_plain_join(spark):
+    from partita.operators.components import salted_join
+
+    big = spark.range(40_000).select(F.when(F.col("id") < 25_000, F.lit(0)).otherwise(F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("deg"), F.max("v").alias("m")).filter("k <> 3")
+    got = salted_join(big, small, "k", "v", 40_000)
+    assert sorted(got.columns) == ["k", "m", "v"] and got.exceptAll(big.join(small.drop("deg"), "k").select(got.columns)).count() == 0 and got.count() == big.filter("k <> 3").count()
