@@ -60,11 +60,10 @@ class VectorTable:
 
     def supersede(self, keys: DataFrame) -> None:
         """Sets the bits of the live rows of these keys. `keys` has one row for each key."""
-        hit = self.index().join(keys.select(*self.keys), self.keys).select("_file", "_pos")
-        if self.vectors is not None:
-            old = self.vectors.select("_file", "_bucket", F.explode(F.sequence(F.lit(0), F.lit(32767))).alias("_at"), "_bits")
-            hit = hit.unionAll(old.filter(_bit()).select("_file", ((F.col("_bucket") - 1) * 32768 + F.col("_at") + 1).alias("_pos")))
+        hit = self.index().join(keys.select(*self.keys), self.keys)
         bits = hit.groupBy("_file", F.bitmap_bucket_number("_pos").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_pos")).alias("_bits"))
+        if self.vectors is not None:
+            bits = bits.unionByName(self.vectors).groupBy("_file", "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits"))
         self.vectors = stash(bits, "bits")
 
     def read(self) -> DataFrame:
