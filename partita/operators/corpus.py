@@ -200,33 +200,88 @@ def minhash(df: DataFrame, key: str, sh: str) -> DataFrame:
     return df.filter(F.size(sh) > 0).select(key, sh).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, sig array<bigint>")
 
 
+def _bands(sigs: DataFrame, key: str) -> DataFrame:
+    rows = HASHES // BANDS
+    return sigs.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))).alias("band"))
+
+
+def _alike(cand: DataFrame, sigs: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the candidates whose signatures agree enough."""
+    x = cand.join(sigs.select(F.col(key).alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col(key).alias("b"), F.col("sig").alias("sb")), "b")
+    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / F.lit(float(HASHES))
+    return x.select("a", "b", same.alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
 def lsh_links(sigs: DataFrame, key: str, most: int | None = MOST_IN_BUCKET, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity): each member of a band bucket linked to the bucket's first member if their signatures agree enough.
 
     Star links only, so a bucket of n members gives n - 1 candidates, however large it is. Buckets of over `most`
-    members are passed over as the reference semantics ask; with most=None none is.
+    members are passed over as the reference semantics ask; with most=None none is. lsh_components misses neither.
     """
-    rows = HASHES // BANDS
-    band = sigs.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))).alias("band"))
+    band = _bands(sigs, key)
     first = band.groupBy("band").agg(F.min(key).alias("anchor"), F.count(F.lit(1)).alias("deg")).filter(F.col("deg") > 1)
     if most:
         first = first.filter(F.col("deg") <= most)
     cand = salted_join(band, first, "band", key, band.count()).filter(F.col("anchor") < F.col(key)).select(F.col("anchor").alias("a"), F.col(key).alias("b")).distinct()
-    x = cand.join(sigs.select(F.col(key).alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col(key).alias("b"), F.col("sig").alias("sb")), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / F.lit(float(HASHES))
-    return x.select("a", "b", same.alias("similarity")).filter(F.col("similarity") >= threshold)
+    return _alike(cand, sigs, key, threshold)
+
+
+#: Members of a bucket are paired block by block, so that no task gets all pairs of a hot bucket.
+BLOCK = 500
+
+
+def lsh_components(sigs: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) over all pairs that share a band bucket, of any size, and agree enough.
+
+    Star links come first. Pairs they leave in one component can't change it, so only buckets that still hold
+    several components are paired in full, across components.
+    """
+    cc = stash(connected_components(lsh_links(sigs, key, None, threshold).select("a", "b")), "stars")
+    band = _bands(sigs, key).join(cc.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+    open_ = band.groupBy("band").agg(F.count(F.lit(1)).alias("deg"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    x = salted_join(band, open_.select("band", "deg", F.ceil(F.col("deg") / BLOCK).cast("int").alias("blocks")), "band", key, band.count())
+    x = x.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = stash(x.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), key, "component"), "blocks")
+    p, q = x.select("band", "i", "j", F.col(key).alias("a"), F.col("component").alias("ca")), x.select("band", "i", "j", F.col(key).alias("b"), F.col("component").alias("cb"))
+    cand = p.join(q, ["band", "i", "j"]).filter("a < b and ca <> cb").select("a", "b").distinct()
+    more = _alike(cand, sigs, key, threshold)
+    comp = lambda c: cc.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    more = stash(more.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "more")
+    up = stash(connected_components(more), "merged")
+    all_ = cc.unionByName(up.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return all_.join(up.select(F.col("node").alias("component"), F.col("component").alias("m")), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+
+
+def whole_clusters(files: DataFrame) -> DataFrame:
+    """duplicate_clusters without its cap on buckets and over all pairs of a bucket: equal shingle sets are one class, classes hang together by lsh_components."""
+    f = _by_path(files)
+    sh = shingled(f, "path", "pitches").filter(F.size("sh") >= LEAST)
+    sh = stash(sh.withColumn("class", F.sha2(F.array_join(F.col("sh").cast("array<string>"), ","), 256)), "shingles")
+    first = stash(sh.groupBy("class").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("deg")), "classes")
+    of = stash(salted_join(sh.select("class", "path"), first, "class", "path", sh.count()).select("path", "first"), "copies")
+    one = sh.join(first.select(F.col("first").alias("path")), "path", "left_semi")
+    cc = lsh_components(stash(minhash(one, "path", "sh"), "sigs"), "path").withColumnRenamed("node", "first")
+    x = first.join(cc, "first", "left").filter("component is not null or deg > 1").select("first", F.coalesce("component", "first").alias("component"), "deg")
+    return _with_keepers(salted_join(of, x, "first", "path", sh.count()).select(F.col("path").alias("node"), "component"), f)
+
+
+def _by_path(files: DataFrame) -> DataFrame:
+    f = files.filter("path is not null").groupBy("path").agg(F.max("n_notes").alias("n_notes"), F.max(F.struct(F.size("pitches"), F.col("pitches"))).alias("p")).select("path", "n_notes", F.col("p.pitches").alias("pitches"))
+    return stash(f, "files")
+
+
+def _with_keepers(cc: DataFrame, f: DataFrame) -> DataFrame:
+    x = cc.join(f.select(F.col("path").alias("node"), "n_notes"), "node")
+    keep = x.groupBy("component").agg(F.min_by("node", F.struct(-F.coalesce("n_notes", F.lit(0)), F.col("node"))).alias("keeper"), F.count(F.lit(1)).alias("deg"))
+    return salted_join(x, keep, "component", "node", x.count()).select(F.col("node").alias("path"), F.col("component").alias("cluster"), "keeper")
 
 
 def duplicate_clusters(files: DataFrame) -> DataFrame:
     """path, cluster (its smallest path), keeper: files (path, pitches, n_notes) that hang together by MinHash links; the keeper has the most notes, the smallest path of equals."""
-    f = files.filter("path is not null").groupBy("path").agg(F.max("n_notes").alias("n_notes"), F.max(F.struct(F.size("pitches"), F.col("pitches"))).alias("p")).select("path", "n_notes", F.col("p.pitches").alias("pitches"))
-    f = stash(f, "files")
+    f = _by_path(files)
     sh = shingled(f, "path", "pitches").filter(F.size("sh") >= LEAST)
     links = lsh_links(stash(minhash(sh, "path", "sh"), "sigs"), "path")
-    cc = connected_components(links.select("a", "b"))
-    x = cc.join(f.select(F.col("path").alias("node"), "n_notes"), "node")
-    keep = x.groupBy("component").agg(F.min_by("node", F.struct(-F.coalesce("n_notes", F.lit(0)), F.col("node"))).alias("keeper"))
-    return x.join(keep, "component").select(F.col("node").alias("path"), F.col("component").alias("cluster"), "keeper")
+    return _with_keepers(connected_components(links.select("a", "b")), f)
 
 
 def content_hash(notes: DataFrame) -> DataFrame:

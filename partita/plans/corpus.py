@@ -172,9 +172,19 @@ def signatures(s, d):
     return C.minhash(C.shingled(f, "path", "pitches").filter(F.size("sh") >= C.LEAST), "path", "sh").select("path", F.posexplode("sig").alias("i", "h"))
 
 
-def dup_clusters(s, d):
+def _with_notes(s, d):
     n = table(s, d, "manifest").groupBy("path").agg(F.max("n_notes").alias("n_notes"))
-    return C.duplicate_clusters(table(s, d, "file_notes").select("path", "pitches").join(n, "path", "left"))
+    return table(s, d, "file_notes").select("path", "pitches").join(n, "path", "left")
+
+
+def dup_clusters(s, d):
+    """The reference's result: buckets of over 200 files are passed over, and only their first member is compared."""
+    return C.duplicate_clusters(_with_notes(s, d))
+
+
+def dup_clusters_whole(s, d):
+    """Buckets of any size, and all their pairs."""
+    return C.whole_clusters(_with_notes(s, d))
 
 
 def versions(s, d):
@@ -197,6 +207,8 @@ QUERIES = {
     "mixture_report": mixture, "size_registry": size_registry, "header_asof_doc_start": header_of_position,
     "shingles_6gram": shingle_counts, "minhash_signature": signatures, "near_dup_clusters": dup_clusters,
     "near_dup_keepers": lambda s, d: dup_clusters(s, d).filter("path <> keeper").select("path"),
+    "near_dup_clusters_whole": dup_clusters_whole,
+    "near_dup_keepers_whole": lambda s, d: dup_clusters_whole(s, d).filter("path <> keeper").select("path"),
     "content_hash": lambda s, d: C.content_hash(_n(s, d)), "version_list": versions,
 }
 
@@ -217,6 +229,8 @@ _CLUSTER = f"""WITH RECURSIVE {_SIG}, bd AS (SELECT path, i // 4 AS band, list(h
  ed AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), re AS (SELECT a, a AS b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b = ed.a),
  co AS (SELECT a AS path, min(b) AS cluster FROM re GROUP BY 1), nn AS (SELECT path, max(n_notes) AS n FROM manifest GROUP BY 1),
  kp AS (SELECT cluster, arg_min(path, (-coalesce(n, 0), path)) AS keeper FROM co LEFT JOIN nn USING (path) GROUP BY 1)"""
+_WHOLE = f"""WITH RECURSIVE {_SIG}, bd AS (SELECT path, i // 4 AS band, list(h ORDER BY i) AS k FROM sig GROUP BY ALL),
+ cd AS (SELECT DISTINCT x.path AS a, y.path AS b FROM bd x JOIN bd y USING (band, k) WHERE x.path < y.path), {_CLUSTER[_CLUSTER.index("lk AS"):]}"""
 
 
 def _pick(k, order="sha1('0:' || path), path"):
@@ -273,6 +287,8 @@ ORACLE = {
     "minhash_signature": f"WITH {_SIG} SELECT path, i, h FROM sig",
     "near_dup_clusters": f"{_CLUSTER} SELECT path, cluster, keeper FROM co JOIN kp USING (cluster)",
     "near_dup_keepers": f"{_CLUSTER} SELECT path FROM co JOIN kp USING (cluster) WHERE path <> keeper",
+    "near_dup_clusters_whole": f"{_WHOLE} SELECT path, cluster, keeper FROM co JOIN kp USING (cluster)",
+    "near_dup_keepers_whole": f"{_WHOLE} SELECT path FROM co JOIN kp USING (cluster) WHERE path <> keeper",
     "content_hash": f"""WITH {NOTES}, h AS (SELECT file_id, track_name, note_idx, lpad(hex(pitch), 16, '0') AS p, lpad(hex(start), 16, '0') AS s, lpad(hex(duration), 16, '0') AS u FROM notes)
       SELECT file_id, sha1(unhex(string_agg(substr(p, 15, 2) || substr(p, 13, 2) || {' || '.join(f'substr(s, {15 - 2 * i}, 2)' for i in range(8))} || {' || '.join(f'substr(u, {15 - 2 * i}, 2)' for i in range(8))}, '' ORDER BY track_name, note_idx))) AS content_hash FROM h GROUP BY 1""",
     "version_list": "SELECT DISTINCT model FROM (SELECT unnest([model_a, model_b]) AS model FROM pair_meta) WHERE model IS NOT NULL AND model <> 'ckpt_last'",

@@ -91,7 +91,15 @@ def build_summary(s, d):
 
 def cluster_dump(s, d):
     """Each near-duplicate cluster's paths in order, with their place; a cluster of any size is written row by row."""
-    return ranked(PC.dup_clusters(s, d).select("cluster", "path"), ["cluster"], [F.col("path")]).select("cluster", F.col("pos").alias("place"), "path")
+    return _places(PC.dup_clusters(s, d))
+
+
+def cluster_dump_whole(s, d):
+    return _places(PC.dup_clusters_whole(s, d))
+
+
+def _places(x):
+    return ranked(x.select("cluster", "path"), ["cluster"], [F.col("path")]).select("cluster", F.col("pos").alias("place"), "path")
 
 
 def flags(s, d):
@@ -161,7 +169,7 @@ def gbt(s, d):
 
 QUERIES = {
     "degeneracy": lambda s, d: _r(Q.degeneracy(_n(s, d).withColumn("pitch", F.when(F.col("file_id") % 4 == 0, F.lit(60).cast("long")).otherwise(F.col("pitch") % 5)))), "velocity_scale": loudness, "span_requests": spans, "path_text_rules": text_rules, "track_spec": specs, "weight_spec": weights,
-    "judge_prompts": prompt_texts, "prompt_cuts": prompts_cut, "fragment_rule": fragments, "shard_sampling_weights": shard_probs, "doc_start_anchors": anchors, "build_summary": build_summary, "cluster_dump": cluster_dump, "flag_whitelist": flags, "untagged_counts": languages,
+    "judge_prompts": prompt_texts, "prompt_cuts": prompts_cut, "fragment_rule": fragments, "shard_sampling_weights": shard_probs, "doc_start_anchors": anchors, "build_summary": build_summary, "cluster_dump": cluster_dump, "cluster_dump_whole": cluster_dump_whole, "flag_whitelist": flags, "untagged_counts": languages,
     "densest_track": lambda s, d: Q.densest_track(_n(s, d)), "piece_analysis": lambda s, d: _r(Q.piece_analysis(_n(s, d), TPQ, 120.0)), "note_roll": lambda s, d: Q.note_roll(_n(s, d), SPT, 60.0), "repair_counts": repaired, "source_order": source_order, "gbt_report": gbt, "sampled_spans": sampled_spans, "infill_report": infill, "scorecard_compare": cards, "header_steering": steered,
     "log_partitions": lambda s, d: table(s, d, "labels").filter("ts is not null").select(*(c.alias(a) for c, a in zip(Q.log_partition(F.col("ts")), ("day", "time")))).groupBy("day").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.count(F.lit(1)).alias("n")),
 }
@@ -190,6 +198,7 @@ ORACLE = {
     "build_summary": f"""WITH {PC._M}, {PC._OK}, {PC._SHARD}, v AS (SELECT source, {PC._V} AS verdict FROM m), f AS (SELECT source, count(*) AS files, count(*) FILTER (verdict = 'ok') AS ok, {', '.join(f"count(*) FILTER (verdict = '{r}') AS {r}" for r in ('unparseable', 'too_few_notes', 'too_sparse', 'too_dense'))} FROM v GROUP BY 1),
       t AS (SELECT source, sum(take)::BIGINT AS tokens, count(DISTINCT (split, shard)) AS shards FROM sp GROUP BY 1) SELECT f.*, tokens, shards, round(tokens / sum(tokens) OVER (), 3) AS share FROM f LEFT JOIN t USING (source)""",
     "cluster_dump": f"{PC._CLUSTER} SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY path) AS place, path FROM co",
+    "cluster_dump_whole": f"{PC._WHOLE} SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY path) AS place, path FROM co",
     "flag_whitelist": f"""WITH k AS (SELECT pair_id, unnest(map_keys(flags)) AS side, unnest(map_values(flags)) AS fs FROM labels WHERE flags IS NOT NULL), f AS (SELECT pair_id, side, unnest(fs) AS flag FROM k) SELECT side, flag, count(DISTINCT pair_id) AS pairs, flag IN {Q.FLAGS} AS known FROM f GROUP BY ALL""",
     "untagged_counts": "WITH x AS (SELECT source, lower(regexp_replace(lang, '-.*', '')) AS lang FROM documents) SELECT source, count(*) FILTER (lang IS NULL OR lang = 'und') AS untagged, count(*) FILTER (lang = 'en') AS en, count(*) AS n FROM x GROUP BY 1",
     "densest_track": f"WITH {NOTES}, c AS (SELECT file_id, track_name, count(*) AS n, min(note_idx) AS i FROM notes GROUP BY ALL) SELECT file_id, track_name, n FROM c QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY n DESC, i) = 1",

@@ -110,6 +110,25 @@ def test_minhash_links_and_keeper(spark):
     assert C.minhash(sh, "k", "sh").first().sig == want
 
 
+def test_clusters_of_copies_and_pairs_beside_the_anchor(spark):
+    import random
+
+    rnd = random.Random(6)
+    base = [rnd.randrange(40, 90) for _ in range(200)]
+    rows = [(f"c{i:03}", base, i) for i in range(250)] + [("d", base[:150] + [61] + base[150:], 1), ("e", [rnd.randrange(40, 90) for _ in range(200)], 1)]
+    df = spark.createDataFrame(rows, "path string, pitches array<int>, n_notes int")
+    assert C.duplicate_clusters(df).filter("path like 'c%'").count() == 0  # the reference's cap
+    got = C.whole_clusters(df).collect()
+    assert {(r.path, r.cluster, r.keeper) for r in got} == {(p, "c000", "c249") for p, _, _ in rows if p != "e"}
+    # b and c share with a its first band alone, and only that with each other: they are 0.76 alike, a is like neither
+    b = list(range(128))
+    c = [x + 1000 if i > 3 and i % 4 == 0 else x for i, x in enumerate(b)]
+    a = [x if i < 4 else x + 2000 for i, x in enumerate(b)]
+    sigs = spark.createDataFrame([("a", a), ("b", b), ("c", c)], "k string, sig array<bigint>")
+    assert C.lsh_links(sigs, "k", None).count() == 0
+    assert {tuple(r) for r in C.lsh_components(sigs, "k").collect()} == {("b", "b"), ("c", "b")}
+
+
 def test_guard(spark):
     m = spark.createDataFrame([("a",), ("b",)], "stem string")
     C.guard(m, spark.createDataFrame([("c",)], "stem string"))
