@@ -78,6 +78,15 @@ def layouts(s, d):
     return x.select("file_id", _text(T.continuation(F.col("h"), half(0))).alias("continuation"), _text(T.accompaniment(F.col("h"), half(0), half(1), end=True)).alias("accompaniment"), _text(T.infill(F.col("h"), half(0), half(1), half(2))).alias("infill"))
 
 
+def layouts_whole(s, d):
+    """Layouts of whole streams: accompaniment from half to half, infill with the middle third masked."""
+    h, b = T.split_header(F.col("ids"))
+    x = _toks(s, d).select("file_id", h.alias("h"), b.alias("b"), F.size(b).alias("n"))
+    at = lambda k, of: F.floor(F.col("n") * k / of).cast("int")
+    part = lambda k, of: F.slice("b", at(k, of) + 1, at(k + 1, of) - at(k, of))
+    return x.select("file_id", _text(T.continuation(F.col("h"), F.col("b"))).alias("continuation"), _text(T.accompaniment(F.col("h"), part(0, 2), part(1, 2), end=True)).alias("accompaniment"), _text(T.infill(F.col("h"), part(0, 3), part(2, 3), part(1, 3))).alias("infill"))
+
+
 def header_parts(s, d):
     h, b = T.split_header(F.col("ids"))
     return _toks(s, d).select("file_id", _text(h).alias("header"), F.size(b).alias("body"), T.count_bars(F.col("ids")).alias("bars"), T.ends_on_bar_line(F.col("ids")).alias("on_line"))
@@ -182,7 +191,7 @@ def windows(s, d):
 
 
 QUERIES = {
-    "remi_encode": encoded, "remi_roundtrip": roundtrip, "doc_builder": documents, "doc_layouts": layouts, "split_header": header_parts, "pad_bars": padded, "fit_context": fitted, "split_bars": bars_cut, "loop_metrics": loops, "half_drift": half_drift,
+    "remi_encode": encoded, "remi_roundtrip": roundtrip, "doc_builder": documents, "doc_layouts": layouts, "doc_layouts_whole": layouts_whole, "split_header": header_parts, "pad_bars": padded, "fit_context": fitted, "split_bars": bars_cut, "loop_metrics": loops, "half_drift": half_drift,
     "ffill_program": programs, "postprocess_stream": stream_clean, "header_sort": header_sorting, "pitch_render": rendered, "instrument_alias": aliases, "map_ops": maps, "ban_ids": bans, "augment_remap": augment, "training_windows": windows,
     "vocabulary": lambda s, d: T.vocab_table(s).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")),
 }
@@ -198,6 +207,9 @@ def _join(x):
 ORACLE = {
     "doc_layouts": f"""WITH {NOTES}, {_T}, x AS (SELECT file_id, ids[1:2] AS h, ids[3:22] AS a, ids[23:42] AS b, ids[43:62] AS c FROM ts)
       SELECT file_id, {_join(f'[{BOS}] || h || a || [{EOS}]')} AS continuation, {_join(f"[{BOS}, {V['Task_accomp']}] || h || a || [{SEP}] || b || [{EOS}]")} AS accompaniment, {_join(f"[{BOS}, {V['Task_infill']}] || h || a || [{MASK}] || b || [{SEP}] || c")} AS infill FROM x""",
+    "doc_layouts_whole": f"""WITH {NOTES}, {_T}, x AS (SELECT file_id, ids[1:2] AS h, ids[3:] AS b, len(ids) - 2 AS n FROM ts)
+      SELECT file_id, {_join(f'[{BOS}] || h || b || [{EOS}]')} AS continuation, {_join(f"[{BOS}, {V['Task_accomp']}] || h || b[1:n // 2] || [{SEP}] || b[n // 2 + 1:] || [{EOS}]")} AS accompaniment,
+        {_join(f"[{BOS}, {V['Task_infill']}] || h || b[1:n // 3] || [{MASK}] || b[2 * n // 3 + 1:] || [{SEP}] || b[n // 3 + 1:2 * n // 3]")} AS infill FROM x""",
     "split_header": f"""WITH {NOTES}, {_T} SELECT file_id, {_join('ids[1:2]')} AS header, (len(ids) - 2)::INT AS body, len(list_filter(ids, lambda x: x = {BAR}))::INT AS bars, ids[-1] = {BAR} OR (ids[-1] {_SIGS} AND ids[-2] = {BAR}) AS on_line FROM ts""",
     "pad_bars": f"""WITH {NOTES}, {_T}, b AS (SELECT *, len(list_filter(ids, lambda x: x = {BAR})) AS n, coalesce(list_filter(ids, lambda x: x {_SIGS})[1], {V['TimeSig_4/4']}) AS sig FROM ts)
       SELECT file_id, (len(ids) + 2 * greatest(0, 16 - n))::INT AS padded, CASE WHEN n < 16 THEN '{BAR} ' || sig ELSE {_join('ids[-2:]')} END AS tail, (len(ids) + CASE WHEN ids[-1] = {BAR} OR (ids[-1] {_SIGS} AND ids[-2] = {BAR}) THEN 0 ELSE 2 END)::INT AS closed FROM b""",
