@@ -152,6 +152,17 @@ def rendered(s, d):
     return grid.join(g, ["file_id", "bar"], "left").select("file_id", "bar", F.coalesce("line", F.lit("(missing)")).alias("line"))
 
 
+def rendered_whole(s, d):
+    """Every bar up to a file's last as text, beat:pitch:length of each note and beat:voice of each drum, empty bars marked."""
+    n = _n(s, d).withColumn("bar", F.floor(F.col("start") / F.lit(float(TPQ)) / 128))
+    at = F.format_string("%.2f", F.floor((F.col("start") - F.col("bar") * (128 * TPQ)) / 36) / F.lit(100.0))
+    length = F.format_string("%.2f", F.floor(F.col("duration") / 36) / F.lit(100.0))
+    x = n.withColumn("txt", F.when(F.col("is_drum"), F.concat_ws(":", at, T.drum_name(F.col("pitch")))).otherwise(F.concat_ws(":", at, T.pitch_name(F.col("pitch")), length)))
+    g = x.groupBy("file_id", "bar").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "pitch", "note_idx", "txt"))), lambda z: z["txt"]), " ").alias("line"))
+    grid = g.groupBy("file_id").agg(F.min("bar").alias("lo"), F.max("bar").alias("hi")).select("file_id", F.explode(F.sequence(F.least(F.lit(0).cast("long"), F.col("lo")), F.col("hi"))).alias("bar"))
+    return grid.join(g, ["file_id", "bar"], "left").select("file_id", "bar", F.coalesce("line", F.lit("(missing)")).alias("line"))
+
+
 def aliases(s, d):
     names = ["Synth Lead", "synth_lead", "KEYS", "Drum-Kit", "808", "unknown thing", "auto", "", "Sound FX", "saxophone", "Piano"]
     x = s.createDataFrame([(n,) for n in names], "name string")
@@ -192,7 +203,7 @@ def windows(s, d):
 
 QUERIES = {
     "remi_encode": encoded, "remi_roundtrip": roundtrip, "doc_builder": documents, "doc_layouts": layouts, "doc_layouts_whole": layouts_whole, "split_header": header_parts, "pad_bars": padded, "fit_context": fitted, "split_bars": bars_cut, "loop_metrics": loops, "half_drift": half_drift,
-    "ffill_program": programs, "postprocess_stream": stream_clean, "header_sort": header_sorting, "pitch_render": rendered, "instrument_alias": aliases, "map_ops": maps, "ban_ids": bans, "augment_remap": augment, "training_windows": windows,
+    "ffill_program": programs, "postprocess_stream": stream_clean, "header_sort": header_sorting, "pitch_render": rendered, "pitch_render_whole": rendered_whole, "instrument_alias": aliases, "map_ops": maps, "ban_ids": bans, "augment_remap": augment, "training_windows": windows,
     "vocabulary": lambda s, d: T.vocab_table(s).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")),
 }
 
@@ -229,6 +240,11 @@ ORACLE = {
         printf('%.2f', ((start - bar * 460800) // 36) / 100) || ':' || ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][pitch % 12 + 1] || (pitch // 12 - 1) || ':' || printf('%.2f', (duration // 36) / 100) AS t FROM x WHERE bar < 4),
       g AS (SELECT file_id, bar, string_agg(t, ' ' ORDER BY start, pitch, note_idx) AS line FROM y GROUP BY ALL)
       SELECT f.file_id, b.bar, coalesce(line, '(missing)') AS line FROM (SELECT DISTINCT file_id FROM x) f CROSS JOIN (SELECT unnest(range(4)) AS bar) b LEFT JOIN g USING (file_id, bar)""",
+    "pitch_render_whole": f"""WITH {NOTES}, x AS (SELECT *, floor(start / 3600 / 128)::BIGINT AS bar FROM notes), y AS (SELECT file_id, bar, start, pitch, note_idx, printf('%.2f', ((start - bar * 460800) // 36) / 100) || ':' ||
+        CASE WHEN is_drum THEN CASE pitch {' '.join(f"WHEN {k} THEN '{v}'" for k, v in T.GM_DRUMS.items())} ELSE 'Perc' || pitch END
+        ELSE ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][pitch % 12 + 1] || (pitch // 12 - 1) || ':' || printf('%.2f', (duration // 36) / 100) END AS t FROM x),
+      g AS (SELECT file_id, bar, string_agg(t, ' ' ORDER BY start, pitch, note_idx) AS line FROM y GROUP BY ALL), f AS (SELECT file_id, unnest(range(least(0, min(bar)), max(bar) + 1)) AS bar FROM g GROUP BY file_id)
+      SELECT file_id, f.bar, coalesce(line, '(missing)') AS line FROM f LEFT JOIN g USING (file_id, bar)""",
     "instrument_alias": """SELECT * FROM (VALUES ('Synth Lead', 'SynthLead', false), ('synth_lead', 'SynthLead', false), ('KEYS', 'Piano', false), ('Drum-Kit', 'Drums', false), ('808', 'Bass', false), ('unknown thing', NULL, false), ('auto', NULL, true), ('', NULL, true),
       ('Sound FX', 'SoundFX', false), ('saxophone', 'Reed', false), ('Piano', 'Piano', false)) v(name, family, auto)""",
     "map_ops": "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value, 'k,z' AS keys FROM events",
