@@ -59,9 +59,9 @@ def prompt_texts(s, d):
 def prompts_cut(s, d):
     """Prompts at a boundary, continuations cut for scoring, and re-headed windows."""
     x = _toks(s, d)
-    body = F.slice("ids", 3, 1000)
+    body = F.slice("ids", F.lit(3), F.size("ids"))
     tail = F.slice(body, F.greatest(F.lit(1), F.size(body) - 9).cast("int"), F.lit(10))
-    return x.select("file_id", F.size(Q.cut_prompt(F.col("ids"), 40)).alias("prompt"), F.size(Q.fit_for_scoring(F.slice("ids", 1, 20), F.slice("ids", 21, 1000), 64)).alias("scored"), _text(Q.reheaded(F.slice("ids", 1, 2), tail, F.slice(body, F.lit(1), F.greatest(F.lit(0), F.size(body) - 10).cast("int")), 33)).alias("window"))
+    return x.select("file_id", F.size(Q.cut_prompt(F.col("ids"), 40)).alias("prompt"), F.size(Q.fit_for_scoring(F.slice("ids", 1, 20), F.slice("ids", F.lit(21), F.size("ids")), 64)).alias("scored"), _text(Q.reheaded(F.slice("ids", 1, 2), tail, F.slice(body, F.lit(1), F.greatest(F.lit(0), F.size(body) - 10).cast("int")), 33)).alias("window"))
 
 
 def fragments(s, d):

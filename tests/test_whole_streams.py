@@ -41,3 +41,7 @@ def test_every_note_is_rendered(spark, long_file):
     assert lines.count() == notes.count()
     assert lines.filter(r"t rlike '^[0-9.]+:(Kick|Rim|Snare|Clap|Tom|Hat|Crash|Ride|Bell|Splash|Perc)'").count() == notes.filter("is_drum").count() > 0
     assert got.agg(F.max("bar")).first()[0] > 3
+
+
+def test_prompt_cuts_of_a_long_stream(spark, long_file):
+    same_as_sql(spark, long_file, "prompt_cuts")
