@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.operators.positions import group_quantiles
+from partita.tables import stash
 
 
 def canonical_vote(choice: Column, left_is: Column, right_is: Column) -> Column:
@@ -206,6 +209,31 @@ def fit_bt(diffs: np.ndarray, l2: float = 1.0, w: np.ndarray | None = None) -> n
     return w
 
 
+def fit_bt_rows(pairs: DataFrame, l2: float = 1.0) -> np.ndarray:
+    """fit_bt over all rows of pairs (diff, winner less loser): gradient and Hessian are summed in the cluster at each step."""
+    x = stash(pairs.select("diff"), "diffs")
+    n, d = x.count(), x.agg(F.max(F.size("diff"))).first()[0]
+    if not n:
+        raise ValueError("no pairs")
+    w = np.zeros(d)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(d * (d + 1))
+        for b in batches:
+            v = np.asarray(b.column(0).flatten(), dtype=float).reshape(-1, d)
+            p = 1 / (1 + np.exp(-np.clip(v @ w, -500, 500)))
+            acc += np.concatenate([v.T @ (1 - p), ((v * (p * (1 - p))[:, None]).T @ v).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(acc))), pa.array(acc)], names=["i", "v"])
+
+    for _ in range(100):
+        t = np.array([r[1] for r in sorted(x.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v")).collect())])
+        step = np.linalg.solve(t[d:].reshape(d, d) / n + l2 / n * np.eye(d), t[:d] / n - l2 * w / n)
+        w = w + step
+        if np.abs(step).max() < 1e-12:
+            break
+    return w
+
+
 #: Rows of difference vectors that one fold's task holds; more are drawn down to it by hash, as the fit is on a bounded sample.
 FIT_ROWS = 200_000
 

@@ -209,7 +209,7 @@ QUERIES = {
     "group_advantage": lambda s, d: _r(P.group_advantage(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", "o_totalprice"), 6).drop("o_totalprice"),
     "calibration": calibrate, "per_metric_agreement": metric_agreement, "linear_reward": reward, "topk_mask": top_k_mask, "seeded_topk_sample": seeded_sample,
     "ridge_fit": ridge, "grouped_cv_alpha": cv, "logo_accuracy": lambda s, d: P.leave_group_out(_emb(s, d)), "layer_sweep": layer_sweep,
-    "bradley_terry": lambda s, d: s.createDataFrame([(i, float(v)) for i, v in enumerate(P.fit_bt(np.array([r[0] for r in _emb(s, d).orderBy("pair_id").limit(P.FIT_ROWS).select("diff").collect()])))], "feature int, weight double"),
+    "bradley_terry": lambda s, d: s.createDataFrame([(i, float(v)) for i, v in enumerate(P.fit_bt_rows(_emb(s, d)))], "feature int, weight double"),
     "scorecard_agg": scorecard, "checkpoint_compare": compare, "least_used_prompt": prompts, "lr_schedules": schedules, "decoder_agreement": agreement_of_decoders,
 }
 

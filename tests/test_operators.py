@@ -209,3 +209,13 @@ def test_salted_join_equals_plain_join(spark):
     small = big.groupBy("k").agg(F.count(F.lit(1)).alias("deg"), F.max("v").alias("m")).filter("k <> 3")
     got = salted_join(big, small, "k", "v", 40_000)
     assert sorted(got.columns) == ["k", "m", "v"] and got.exceptAll(big.join(small.drop("deg"), "k").select(got.columns)).count() == 0 and got.count() == big.filter("k <> 3").count()
+
+
+def test_bradley_terry_sees_every_pair(spark, sf, monkeypatch):
+    from partita.plans import preferences as PP
+
+    monkeypatch.setattr(P, "FIT_ROWS", 20)
+    rows = np.array([r[0] for r in PP._emb(spark, sf).select("diff").collect()])
+    assert len(rows) > 20
+    got = {r.feature: r.weight for r in PP.QUERIES["bradley_terry"](spark, sf).collect()}
+    assert np.allclose([got[i] for i in range(64)], P.fit_bt(rows), atol=1e-9)
