@@ -219,3 +219,11 @@ def test_bradley_terry_sees_every_pair(spark, sf, monkeypatch):
     assert len(rows) > 20
     got = {r.feature: r.weight for r in PP.QUERIES["bradley_terry"](spark, sf).collect()}
     assert np.allclose([got[i] for i in range(64)], P.fit_bt(rows), atol=1e-9)
+
+
+def test_agreement_of_every_component(spark, sf):
+    from partita.plans import preferences as PP
+
+    want = {i for r in PP._emb(spark, sf).select("diff").collect() for i, v in enumerate(r[0]) if v}
+    got = {r.metric for r in PP.QUERIES["per_metric_agreement_whole"](spark, sf).collect()}
+    assert got == want and len(got) == 64
