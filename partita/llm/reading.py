@@ -145,7 +145,10 @@ def level_features(text: str, rarity: np.ndarray) -> list[float]:
     length = sum(k * k for _, k in sentences) / n
     marks = sum(len(_CLAUSE.findall(s)) for s, _ in sentences) + joined
     size = min(WINDOW, n)
-    spans = [len(set(words[i : i + size])) / size for i in range(0, n - size + 1, max(1, size // 2))]
+    starts = list(range(0, n - size + 1, max(1, size // 2)))
+    if starts[-1] < n - size:  # the last words count as well
+        starts.append(n - size)
+    spans = [len(set(words[i : i + size])) / size for i in starts]
     bits, mean = float(rarity[np.array(buckets)].mean(dtype=np.float64)), sum(letters) / n
     return [
         math.log(length + 1), mean, sum(x >= 10 for x in letters) / n, math.log1p(marks / len(sentences)),

@@ -70,3 +70,12 @@ def test_rows(spark, sf):
     got = {r.doc_id: r for r in rows}
     assert len(rows) == 8 and all(got[i].level == 0 and got[i].prose == 0 for i in (1, 2, 3, 7)) and got[4].level == 1 and got[5].level == 0 and got[6].level >= 1
     assert reading.levels(docs.limit(0), table(spark, sf, "level_samples")).count() == 0
+
+
+def test_last_words_count_for_diversity():
+    some = ("in the long days of summer the children of our small village went down to the wide river every morning and "
+            "came back with many stones which they laid before the door of the old house where she had always").split()[:40]
+    more = "lived alone among books maps birds and quiet clever animals".split()
+    at, none = reading.LEVEL.index("diversity"), np.zeros(reading.BUCKETS)
+    of = lambda words: reading.level_features(" ".join(words).capitalize() + ".", none)[at]
+    assert len(some) == 40 and of(some + more) > of(some + ["the"] * 10)
