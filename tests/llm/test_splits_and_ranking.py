@@ -73,8 +73,8 @@ def fit(n, wins, ridge):
     return s, np.sqrt(np.diag(m @ c @ m))
 
 
-@pytest.mark.parametrize("local", [10**6, 0])
-def test_strengths_equal_dense_fit(spark, local):
+@pytest.mark.parametrize("block", [ranking.BLOCK, 2])
+def test_strengths_equal_dense_fit(spark, block):
     rnd = random.Random(2)
     true = {f"m{i}": i / 3 for i in range(6)}
     rows, wins = [], {}
@@ -88,7 +88,7 @@ def test_strengths_equal_dense_fit(spark, local):
         a[0] += w
         a[1] += 1
     rows += [(None, "m1", 1, "x"), ("m1", None, 1, "x"), ("m1", "m1", 1, "x")]
-    got = {r.item: r for r in ranking.strengths(votes(spark, rows), local_pairs=local).collect()}
+    got = {r.item: r for r in ranking.strengths(votes(spark, rows), block=block).collect()}
     s, se = fit(6, wins, ranking.RIDGE)
     assert np.allclose([got[f"m{i}"].strength for i in range(6)], s, atol=1e-5) and np.allclose([got[f"m{i}"].std_error for i in range(6)], se, atol=1e-5)
     assert sorted(got, key=lambda m: got[m].rank)[0] == "m5" and sum(r.wins for r in got.values()) == sum(r.losses for r in got.values()) == len(rows) - 3
