@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.operators.changefeed import apply_changes
+from partita.operators.changefeed import Feed
 from partita.tables import table
 
 
@@ -17,20 +17,20 @@ def _row_id(session: str, t: str):
     return F.concat_ws("|", F.lpad(F.col(t).cast("string"), 20, "0"), F.coalesce(F.col(session), F.lit("")))
 
 
-def cast_votes(labels: DataFrame) -> DataFrame:
-    """One row for each vote (pair_id, session_id, ts) as it was cast.
+def cast_votes(labels: DataFrame, more: tuple = ("preferred", "left_is", "right_is", "left_model", "right_model")) -> DataFrame:
+    """One row for each vote (pair_id, session_id, ts) as it was cast: pair_id, session_id, t, choice, the columns of `more`, prio.
 
     Rows with null or empty pair_id or null ts are no votes. Repeated rows count once; a vote of which only a
     corrected state was delivered was cast as `corrected_from`. Of conflicting rows of one vote the row as cast
-    goes first, then the smallest values.
+    goes first, then the smallest values; prio is what decides.
     """
+    later = F.col("corrected_from").isNotNull()
     v = labels.filter("pair_id <> '' and ts is not null").select(
-        "pair_id", F.coalesce("session_id", F.lit("")).alias("session_id"), _micros("ts").alias("t"), "left_is", "right_is", "left_model", "right_model",
-        F.col("corrected_from").isNotNull().alias("later"), F.coalesce("corrected_from", "choice").alias("choice"),
-        F.when(F.col("corrected_from").isNull(), F.col("preferred")).alias("preferred"),
+        "pair_id", F.coalesce("session_id", F.lit("")).alias("session_id"), _micros("ts").alias("t"), later.alias("later"), F.coalesce("corrected_from", "choice").alias("choice"),
+        *(F.when(~later, F.col(c)).alias(c) if c == "preferred" else F.col(c) for c in more),
     )
-    first = F.struct("later", F.col("choice").isNull().alias("n"), "choice", "preferred", "left_is", "right_is", "left_model", "right_model")
-    return v.groupBy("pair_id", "session_id", "t").agg(F.min(first).alias("v")).select("pair_id", "session_id", "t", *(f"v.{c}" for c in ("choice", "preferred", "left_is", "right_is", "left_model", "right_model")))
+    first = F.struct("later", F.col("choice").isNull().alias("n"), "choice", *more)
+    return v.groupBy("pair_id", "session_id", "t").agg(F.min(first).alias("v")).select("pair_id", "session_id", "t", "v.choice", *(f"v.{c}" for c in more), F.struct("v.later", "v.n", "v.choice").alias("prio"))
 
 
 def vote_changes(labels: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -48,34 +48,62 @@ def vote_changes(labels: DataFrame, corrections: DataFrame) -> DataFrame:
     return late.unionByName(c).distinct()
 
 
-def standing_votes(labels: DataFrame, corrections: DataFrame) -> DataFrame:
-    """The votes that stand after all changes: grp (pair), row, t, value (choice), touched. Empty tables give an empty result."""
-    rows = cast_votes(labels).select(F.col("pair_id").alias("grp"), _row_id("session_id", "t").alias("row"), "t", F.col("choice").alias("value"))
+def vote_rows(labels: DataFrame) -> DataFrame:
+    """The votes as rows of a feed: grp (pair), row, t, value (choice), prio."""
+    return cast_votes(labels, ()).select(F.col("pair_id").alias("grp"), _row_id("session_id", "t").alias("row"), "t", F.col("choice").alias("value"), "prio")
+
+
+def change_rows(labels: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The changes as changes of a feed; `change` is made of all they say."""
     ch = vote_changes(labels, corrections).withColumnRenamed("pair_id", "grp")
-    ch = ch.withColumn("change", F.concat_ws("|", F.lpad(F.col("t").cast("string"), 20, "0"), "kind", F.sha1(F.to_json(F.struct("grp", "t", "kind", "target_t", "value")))))
-    return apply_changes(rows, ch)
+    return ch.withColumn("change", F.concat_ws("|", F.lpad(F.col("t").cast("string"), 20, "0"), "kind", F.sha1(F.to_json(F.struct("grp", "t", "kind", "target_t", "value")))))
+
+
+def standing_votes(labels: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(standing, cast): the votes that stand after all changes (grp, row, t, value, touched), and all votes as cast. Empty tables give empty results."""
+    feed = Feed(labels.sparkSession)
+    feed.apply(vote_rows(labels))
+    feed.apply(changes=change_rows(labels, corrections))
+    return feed.read(), feed.rows[0]
+
+
+def _newest(standing: DataFrame) -> DataFrame:
+    return standing.groupBy(F.col("grp").alias("pair_id")).agg(F.max_by("value", "row").alias("choice"), F.count(F.lit(1)).alias("standing"))
 
 
 def newest_standing(labels: DataFrame, corrections: DataFrame) -> DataFrame:
     """pair_id, choice, standing: the newest standing vote of each pair and how many of its votes stand."""
-    s = standing_votes(labels, corrections)
-    return s.groupBy(F.col("grp").alias("pair_id")).agg(F.max_by("value", "row").alias("choice"), F.count(F.lit(1)).alias("standing"))
+    return _newest(standing_votes(labels, corrections)[0])
 
 
 def p3_state(spark: SparkSession, d: str) -> DataFrame:
     return newest_standing(table(spark, d, "labels"), table(spark, d, "corrections"))
 
 
+def p3_feed(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+    """p3_state by a feed of several batches, cut at even times of delivery; rows without one come first."""
+    labels, corrections = table(spark, d, "labels"), table(spark, d, "corrections")
+    at = labels.select(_micros("ingested_at").alias("t")).unionAll(corrections.select(_micros("ingested_at"))).agg(F.min("t"), F.max("t")).first()
+    lo, hi = at[0] or 0, (at[1] or 0) + 1
+    feed = Feed(spark)
+    for b in range(batches):
+        i = F.coalesce(F.floor((_micros("ingested_at") - lo) * batches / (hi - lo)), F.lit(0)) == b
+        feed.apply(vote_rows(labels.filter(i)), change_rows(labels.filter(i), corrections.filter(i)))
+    return _newest(feed.read())
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     labels, corrections = table(spark, d, "labels"), table(spark, d, "corrections")
-    named = corrections.select(F.coalesce(F.expr("nullif(pair_id, '')"), F.col("original.pair_id"), F.col("removed.pair_id")).alias("pair_id"))
-    late = labels.filter("corrected_from is not null").select("pair_id")
-    several = cast_votes(labels).groupBy("pair_id").count().filter("count > 1").select("pair_id")
-    cases = named.unionAll(late).unionAll(several).filter("pair_id <> ''").distinct()
-    return newest_standing(labels, corrections).join(cases, "pair_id", "left_semi").select("pair_id", "choice")
+    standing, cast = standing_votes(labels, corrections)
+    case = corrections.select(F.coalesce(F.expr("nullif(pair_id, '')"), F.col("original.pair_id"), F.col("removed.pair_id")).alias("grp")).unionAll(labels.filter("corrected_from is not null").select("pair_id")).filter("grp <> ''")
+    # one pass over the pairs: what stands, how many votes were cast, and whether a change names them
+    none, zero, one = F.lit(None).cast("string"), F.lit(0), F.lit(1)
+    every = standing.select("grp", "row", "value", zero.alias("cast"), zero.alias("case")).unionAll(cast.select("grp", none, none, one, zero)).unionAll(case.select("grp", none, none, zero, one))
+    found = every.groupBy(F.col("grp").alias("pair_id")).agg(F.max(F.when(F.col("row").isNotNull(), F.struct("row", "value"))).alias("v"), F.sum("cast").alias("n"), F.sum("case").alias("c"))
+    return found.filter("v is not null and (n > 1 or c > 0)").select("pair_id", F.col("v.value").alias("choice"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_state": p3_state}
+QUERIES = {"p3_found": p3_found, "p3_state": p3_state, "p3_feed": p3_feed}
 
 _STATE = r"""WITH RECURSIVE lb AS (SELECT DISTINCT pair_id, coalesce(session_id, '') AS session_id, epoch_us(ts) AS t, corrected_from IS NOT NULL AS later, coalesce(corrected_from, choice) AS choice, choice AS now, epoch_us(corrected_at) AS cat
    FROM labels WHERE pair_id <> '' AND ts IS NOT NULL),
@@ -92,6 +120,7 @@ _STATE = r"""WITH RECURSIVE lb AS (SELECT DISTINCT pair_id, coalesce(session_id,
 
 ORACLE = {
     "p3_state": f"{_STATE} SELECT * FROM out",
+    "p3_feed": f"{_STATE} SELECT * FROM out",
     "p3_found": f"""{_STATE}, cases AS (SELECT pair_id FROM cc UNION SELECT pair_id FROM labels WHERE corrected_from IS NOT NULL UNION SELECT pair_id FROM v GROUP BY 1 HAVING count(*) > 1)
       SELECT pair_id, choice FROM out WHERE pair_id IN (SELECT pair_id FROM cases WHERE pair_id <> '')""",
 }

@@ -55,6 +55,53 @@ def test_hot_group_in_cuts_equals_one_fold(spark, monkeypatch):
     assert sorted(state.items()) == whole
 
 
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_feed_in_batches_equals_brute_force(spark, sf, batches):
+    assert {r.pair_id: (r.choice, r.standing) for r in votes.p3_feed(spark, sf, batches).collect()} == brute(spark, sf)[0]
+
+
+def test_late_rows_and_changes_undo_what_was_decided(spark):
+    """A batch brings a row older than a change that named none, and the row's better version: the earlier decision is taken back."""
+    row = "grp string, row string, t long, value string, prio int"
+    change = "grp string, change string, t long, kind int, target_t long, value string"
+    feed = changefeed.Feed(spark)
+    feed.apply(spark.createDataFrame([("g", "1", 1, "a", 1), ("h", "1", 1, "x", 0)], row), spark.createDataFrame([("g", "c1", 9, 2, None, None), ("g", "c2", 10, 1, None, "z")], change))
+    assert feed.read().select("grp", "row", "value").collect() == [("h", "1", "x")]
+    feed.apply(spark.createDataFrame([("g", "5", 5, "b", 0), ("g", "1", 1, "A", 0), ("h", "1", 1, "y", 7)], row), spark.createDataFrame([("g", "c1", 9, 2, None, None)], change))
+    assert sorted(map(tuple, feed.read().select("grp", "row", "value", "touched").collect())) == [("g", "1", "z", True), ("h", "1", "x", False)]
+    feed.apply(changes=spark.createDataFrame([("g", "c0", 6, 2, 1, None)], change))
+    feed.apply(spark.createDataFrame([], row), spark.createDataFrame([], change))
+    feed.apply()
+    assert feed.read().select("grp", "row").collect() == [("h", "1")]
+
+
+def test_index_and_file_numbers_are_exact(spark):
+    t = changefeed.VectorTable(spark, ["k"])
+    for i in range(3):
+        t.append(spark.range(1000 * i, 1000 * (i + 1)).select(F.col("id").alias("k"), F.lit(i).alias("v")).repartition(5))
+    i = t.index().toPandas()
+    assert len(i) == 3000 and i.groupby(["_file", "_pos"]).ngroups == 3000 and i._file.nunique() == 15
+    t.supersede(spark.range(0, 1).select(F.col("id").alias("k")))
+    t.supersede(spark.range(0, 3000, 10).select(F.col("id").alias("k")))
+    left = t.read().toPandas()
+    assert sorted(left.k) == [x for x in range(3000) if x % 10] and (left.v == left.k // 1000).all()
+
+
+def test_hot_group_with_many_deaths(spark, monkeypatch):
+    """Most rows of the group are deleted by name, long after; cuts of five events against one fold."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [("g", f"{i:05d}", 2 * i, 2 * i + 1 + 2 * rnd.randrange(1, 400) if rnd.random() < 0.8 else None) for i in range(400)]
+    changes = [("g", f"c{i:04d}", 2 * rnd.randrange(400) + 1, 1 + (rnd.random() < 0.8)) for i in range(250)]
+    r = spark.createDataFrame(rows, "grp string, row string, t long, death long")
+    c = spark.createDataFrame(list({(x[2], x[3]): x for x in changes}.values()), "grp string, change string, t long, kind int")
+    get = lambda: sorted(map(tuple, changefeed.resolve_unnamed(r, c).collect()))
+    whole = get()
+    monkeypatch.setattr(changefeed, "CHUNK", 5)
+    assert len(whole) > 50 and get() == whole
+
+
 def test_vector_table_supersedes_twice(spark):
     t = changefeed.VectorTable(spark, ["k"])
     t.append(spark.range(100_000).select(F.col("id").alias("k"), F.lit(0).alias("v")).repartition(3))
