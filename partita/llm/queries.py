@@ -57,4 +57,14 @@ ORACLE = {
       h AS (SELECT g.path, g.r, n.n FROM g JOIN n USING (path))
       SELECT a.path AS path_1, b.path AS path_2 FROM h a JOIN h b ON a.r = b.r AND a.path < b.path
       GROUP BY a.path, b.path, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.65""",
+    "p6_groups": """WITH RECURSIVE f AS (SELECT DISTINCT path, pitches FROM (SELECT path, list_filter(pitches, lambda p: p IS NOT NULL) AS pitches FROM file_notes WHERE path IS NOT NULL) WHERE len(pitches) > 6),
+      s AS (SELECT path, list_transform(range(1, len(pitches)), lambda i: pitches[i + 1] - pitches[i]) AS s FROM f),
+      g AS (SELECT path, r, count(*) AS c FROM (SELECT path, unnest(list_transform(range(1, len(s) - 4), lambda i: s[i:i + 5])) AS r FROM s) GROUP BY path, r),
+      n AS (SELECT path, sum(c)::BIGINT AS w, list({'r': r, 'c': c} ORDER BY r) AS runs FROM g GROUP BY path HAVING count(*) >= 64),
+      cls AS (SELECT path, w, min(path) OVER (PARTITION BY runs) AS class_id FROM n),
+      h AS (SELECT path AS k, r, c, w FROM g JOIN cls USING (path) WHERE path = class_id),
+      link AS (SELECT a.k AS a, b.k AS b FROM h a JOIN h b ON a.r = b.r AND a.k <> b.k GROUP BY a.k, b.k, a.w, b.w HAVING sum(least(a.c, b.c)) / (a.w + b.w - sum(least(a.c, b.c))) >= 0.65),
+      reach AS (SELECT DISTINCT class_id AS a, class_id AS b FROM cls UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+      low AS (SELECT a, min(b) AS "group" FROM reach GROUP BY a), deg AS (SELECT a, count(*)::INTEGER AS links FROM link GROUP BY a)
+      SELECT path, class_id, coalesce(links, 0)::BIGINT AS links, "group" FROM cls JOIN low ON low.a = class_id LEFT JOIN deg ON deg.a = class_id""",
 }
