@@ -3,7 +3,7 @@
 Two models are fitted on the graded samples (a bounded table: at most MOST_SAMPLES rows): whether a text is
 running prose (level 0 is not), a ridge logistic regression over the make-up of its characters and words, and how
 demanding prose is (levels 1 to 4), a ridge proportional-odds regression over lexical diversity, word rarity,
-connectives, a clause-depth proxy and lengths. Word rarity comes from the words of all documents, counted in a
+connectives, a clause-depth proxy and lengths. Word rarity comes from the prose of all documents, counted in a
 table of BUCKETS hashed counters whose size doesn't depend on the corpus.
 """
 
@@ -23,30 +23,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partita.llm.bpe import texts_of
-from partita.tables import table
+from partita.tables import stash, table
 
 BUCKETS = 1 << 20
 MOST_SAMPLES = 10_000
 RIDGE = 0.5
 WINDOW = 40
+#: Words that the means of the graded prose weigh in a text's measures, so that a note of four words is no evidence of a level.
+PRIOR_WORDS = 10
 
-#: Connectives of dependent or argued clauses, in English, German, French and Spanish.
+#: Closed classes of words that join clauses, as grammars list them: subordinating conjunctions, relative pronouns
+#: and conjunctive adverbs of English, German, French and Spanish. No list was made from the graded samples.
 CONNECTIVES = frozenset(
-    """although because before after while when whereas since unless until though if once so that which whose insofar inasmuch furthermore moreover
-    consequently conversely correspondingly thereby therefore hence notwithstanding irrespective given contrary particularly neither nor from standpoint
-    obwohl weil während wenn dass sodass damit nachdem bevor sobald solange falls sofern welche welcher welches deren dessen wobei wodurch infolgedessen
-    unbeschadet hinsichtlich insbesondere demzufolge dementsprechend gleichwohl nichtsdestoweniger keineswegs
-    quand lorsque parce puisque afin bien quoique tandis avant après car si dont laquelle lequel lesquelles notamment subséquemment nonobstant néanmoins
-    conséquemment toutefois cependant considérée
-    aunque porque cuando mientras después antes si que cuya cuyo cuyas cual cuales donde pues consiguientemente obstante particularmente asimismo
-    considerada desde sin embargo""".split()
+    """after although as because before if inasmuch insofar lest once provided since than that though till unless until when whenever where whereas wherever whether while
+    which who whom whose accordingly besides consequently conversely finally furthermore hence however indeed instead likewise meanwhile moreover
+    nevertheless nonetheless notwithstanding otherwise similarly subsequently then thereby therefore thus either neither nor
+    als bevor bis da damit dass daß ehe falls indem nachdem ob obgleich obschon obwohl seit seitdem sobald sodass sofern solange sooft soweit während weil wenn wenngleich wobei wodurch wofür womit
+    welche welchem welchen welcher welches deren dessen allerdings außerdem daher dagegen dann darum demnach demzufolge dementsprechend dennoch deshalb deswegen ferner folglich gleichwohl hingegen
+    indessen infolgedessen insbesondere jedoch keineswegs mithin nichtsdestoweniger somit sonst trotzdem überdies vielmehr weder zudem zwar
+    afin alors attendu avant comme depuis lorsque malgré parce pendant pourvu puisque quand que qui quoi quoique sauf selon si sinon tandis
+    dont où lequel laquelle lesquels lesquelles auquel auxquels duquel desquels ainsi cependant certes conséquemment donc enfin ensuite néanmoins nonobstant notamment pourtant toutefois
+    antes apenas aunque como conforme cuando después donde mientras porque pues puesto según sino siempre
+    cual cuales cuya cuyas cuyo cuyos quien quienes además ahora así asimismo consiguientemente embargo entonces luego obstante particularmente pero tampoco""".split()
 )
 
 _MOJIBAKE = re.compile("[\u00c2-\u00f4][\u0080-\u00bf]+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<\|[^<>|\n]{0,40}\|>|</?s>|\[/?(?:INST|PAD|CLS|SEP|MASK|UNK|BOS|EOS)\]", re.I)
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\ufffd\x00-\x08\x0b-\x1f\x7f-\x9f]")
 _BROKEN = re.compile(r"(\w)-[ \t]*\n[ \t]*(?=[^\W\d_])")
-_LEAD = re.compile(r"^[ \t]*(?:[>*#•·-]+[ \t]+|\d{1,3}[.)][ \t]+)+")
+_LEAD = re.compile(r"^[ \t]*(?:[>*#•·-]+[ \t]+|\d{1,3}[.)][ \t]+)+", re.M)
 _LINK = re.compile(r"https?://\S+|\[([^\]\n]*)\]\([^)\n]*\)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"[.!?…]+(?=[\"'»”)\]]*(?:\s|$))|\n{2,}")
@@ -67,14 +72,19 @@ def clean(text: str) -> str:
                 continue
         return m.group()
 
-    if "Â" in t or "Ã" in t or "â" in t:
-        t = _MOJIBAKE.sub(undo, t)
-    t = unicodedata.normalize("NFKC", t.replace("\r\n", "\n").replace("\r", "\n"))
-    t = _HIDDEN.sub("", t)
-    t = _TAG.sub(" ", t)
-    t = _LINK.sub(lambda m: m.group(1) or " ", t)
-    t = _BROKEN.sub(r"\1", t)
-    return "\n".join(_LEAD.sub("", line) for line in t.split("\n"))
+    # what cannot occur in a text is not looked for
+    if not t.isascii():
+        if "Â" in t or "Ã" in t or "â" in t:
+            t = _MOJIBAKE.sub(undo, t)
+        t = unicodedata.normalize("NFKC", t)
+    t = _HIDDEN.sub("", t.replace("\r\n", "\n").replace("\r", "\n"))
+    if "<" in t or "[" in t:
+        t = _TAG.sub(" ", t)
+    if "http" in t or "](" in t:
+        t = _LINK.sub(lambda m: m.group(1) or " ", t)
+    if "-" in t and "\n" in t:
+        t = _BROKEN.sub(r"\1", t)
+    return _LEAD.sub("", t)
 
 
 def _bare(word: str) -> str:
@@ -96,6 +106,13 @@ def _is_word(token: str) -> bool:
     return bool(w) and all(c.isalpha() or c in "'’-/" for c in w) and (len(w) > 1 or w.lower() in "aiyoeàóúè&")
 
 
+@functools.lru_cache(maxsize=200_000)
+def _token(token: str) -> tuple[int, int, int, int, int, int, int]:
+    """(characters, letters, digits, a word, a word of three or more, a word that ends in a mark, a word of two letters or more)."""
+    word = _is_word(token)
+    return (len(token), sum(map(len, _LETTERS.findall(token))), sum(map(len, _DIGITS.findall(token))), int(word), int(word and len(token) > 2), int(word and token[-1] in ".,;:!?"), int(word and len(token) > 1 and len(token.strip(".,;:!?()")) > 1))
+
+
 @functools.lru_cache(maxsize=200_000)
 def _facts(word: str) -> tuple[str, int, int, bool]:
     """(bare word, bucket, letters, whether a connective)."""
@@ -103,85 +120,113 @@ def _facts(word: str) -> tuple[str, int, int, bool]:
     return w, bucket(w), len(w.replace("-", "").replace("'", "").replace("\u2019", "")), w in _BARE_CONNECTIVES
 
 
-def prose_of(text: str) -> str:
-    """The lines of which at least half are words of two letters or more, and blank ones; lines of notes, chords, numbers and code are dropped."""
-    keep = []
-    for line in text.split("\n"):
-        tokens = line.split()
-        if not tokens or 2 * sum(1 for t in tokens if len(t) > 1 and _is_word(t) and len(t.strip(".,;:!?()")) > 1) >= len(tokens):
-            keep.append(line)
-    return "\n".join(keep)
-
-
 SHAPE = ("letters", "digits", "symbols", "words", "long_words", "plain_end")
+LEVEL = ("sentence_length", "word_length", "long_words", "clause_depth", "connectives", "diversity", "rarity", "length_x_word")
+RARITY = LEVEL.index("rarity")
 
 
-def shape_features(text: str) -> list[float]:
-    """What a cleaned text is made of; for the prose model."""
-    tokens = text.split()
-    n, count = max(1, sum(map(len, tokens))), max(1, len(tokens))
-    letters, digits = sum(map(len, _LETTERS.findall(text))), sum(map(len, _DIGITS.findall(text)))
-    plain = [t for t in tokens if _is_word(t)]
-    return [letters / n, digits / n, (n - letters - digits) / n, len(plain) / count, sum(len(t) > 2 for t in plain) / count, sum(t[-1] in ".,;:!?" for t in plain) / max(1, len(plain))]
-
-
-LEVEL = ("sentence_length", "word_length", "long_words", "clause_depth", "connectives", "diversity", "rarity", "length_x_word")
+def measure(text: str) -> tuple[list[float], list[float], list[int]]:
+    """(shape, level, buckets) of a cleaned text: what it is made of, how its prose is written (LEVEL, with rarity still 0), and the bucket of each word of its prose.
 
+    Prose are the lines of which at least half are words of two letters or more, and blank ones; lines of notes,
+    chords, numbers and code are none.
+    """
+    n = letters = digits = words = long = ends = count = 0
+    keep = []
+    for line in text.split("\n"):
+        tokens = line.split()
+        if not tokens:
+            keep.append(line)
+            continue
+        a, b, c, d, e, f, g = map(sum, zip(*map(_token, tokens)))
+        n, letters, digits, words, long, ends, count = n + a, letters + b, digits + c, words + d, long + e, ends + f, count + len(tokens)
+        if 2 * g >= len(tokens):
+            keep.append(line)
+    n, count = max(1, n), max(1, count)
+    shape = [letters / n, digits / n, (n - letters - digits) / n, words / count, long / count, ends / max(1, words)]
 
-def level_features(text: str, rarity: np.ndarray) -> list[float]:
-    """How a cleaned text's prose is written; for the level model. `rarity`: bits of each bucket."""
-    prose = _ABBREVIATION.sub(lambda m: m.group()[:-1], prose_of(text))
-    sentences, found = [], []
+    prose = "\n".join(keep)
+    if "." in prose:
+        prose = _ABBREVIATION.sub(lambda m: m.group()[:-1], prose)
+    lengths, found = [], []
     for sentence in _END.split(prose):
-        here = _WORD.findall(sentence) if sentence else []
-        if here:
-            sentences.append((sentence, len(here)))
+        if sentence and (here := _WORD.findall(sentence)):
+            lengths.append(len(here))
             found += here
     if not found:
-        return [0.0] * len(LEVEL)
-    words, buckets, letters, connective = zip(*map(_facts, found))
-    n, joined = len(words), sum(connective)
+        return shape, [0.0] * len(LEVEL), []
+    bare, buckets, sizes, connective = zip(*map(_facts, found))
+    n, joined = len(bare), sum(connective)
     # each word counts its own sentence's length, so that a heading or a stray line weighs little
-    length = sum(k * k for _, k in sentences) / n
-    marks = sum(len(_CLAUSE.findall(s)) for s, _ in sentences) + joined
+    length = sum(k * k for k in lengths) / n
+    marks = len(_CLAUSE.findall(prose)) + joined
     size = min(WINDOW, n)
     starts = list(range(0, n - size + 1, max(1, size // 2)))
     if starts[-1] < n - size:  # the last words count as well
         starts.append(n - size)
-    spans = [len(set(words[i : i + size])) / size for i in starts]
-    bits, mean = float(rarity[np.array(buckets)].mean(dtype=np.float64)), sum(letters) / n
-    return [
-        math.log(length + 1), mean, sum(x >= 10 for x in letters) / n, math.log1p(marks / len(sentences)),
-        joined / n, sum(spans) / len(spans), bits, math.log(length + 1) * mean / 10,
+    different = sum(len(set(bare[i : i + size])) for i in starts) / (size * len(starts))
+    mean = sum(sizes) / n
+    level = [
+        math.log(length + 1), mean, sum(x >= 10 for x in sizes) / n, math.log1p(marks / len(lengths)),
+        joined / n, different, 0.0, math.log(length + 1) * mean / 10,
     ]
+    return shape, level, list(buckets)
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often the words of each bucket occur in all documents. Each task sums its own counters before they are shuffled; the result always has BUCKETS numbers."""
+def shape_features(text: str) -> list[float]:
+    """What a cleaned text is made of; for the prose model."""
+    return measure(text)[0]
+
+
+def level_features(text: str, rarity: np.ndarray) -> list[float]:
+    """How a cleaned text's prose is written; for the level model. `rarity`: bits of each bucket."""
+    _, level, buckets = measure(text)
+    if buckets:
+        level[RARITY] = float(rarity[np.array(buckets)].mean(dtype=np.float64))
+    return level
+
+
+MEASURED = "shape array<double>, level array<double>, buckets array<int>"
+
+
+def measured(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """id and the measures of every text, by one pass over the texts. Null texts are measured as empty ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = texts_of(b.column(1))
+            for lo in range(0, len(texts), 500):
+                shape, level, buckets = zip(*(measure(clean(t) if t else "") for t in texts[lo : lo + 500]))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in buckets])]).astype(np.int32)
+                flat = np.fromiter((x for y in buckets for x in y), np.int32, ends[-1])
+                fixed = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(np.array(m, dtype=float).ravel()), len(m[0])).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 500), fixed(shape), fixed(level), pa.ListArray.from_arrays(ends, pa.array(flat))], names=[id_, "shape", "level", "buckets"])
+
+    return docs.select(id_, text).mapInArrow(run, f"`{id_}` {docs.schema[id_].dataType.simpleString()}, {MEASURED}")
+
+
+def bucket_counts(done: DataFrame) -> np.ndarray:
+    """How often the words of each bucket occur in all measured texts. Each task sums its own counters before they are shuffled; the result always has BUCKETS numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
-            found: list[int] = []
-            for t in texts_of(b.column(0)):
-                if t:
-                    found += [_facts(w)[1] for w in _WORD.findall(clean(t))]
-                if len(found) > 1_000_000:
-                    acc += np.bincount(found, minlength=BUCKETS)
-                    found = []
-            if found:
-                acc += np.bincount(found, minlength=BUCKETS)
+            acc += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=BUCKETS)
         at = np.flatnonzero(acc)
         for lo in range(0, len(at), 100_000):
             part = at[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(acc[part])], names=["bucket", "n"])
 
-    got = docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = done.select("buckets").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS)
     out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy()
     return out
 
 
+def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    return bucket_counts(measured(docs.select(F.lit(0).alias("id"), text), "id", text))
+
+
 def rarity_bits(counts: np.ndarray) -> np.ndarray:
     return np.minimum(20.0, -np.log2((counts + 0.5) / (counts.sum() + 1))).astype(np.float32)
 
@@ -216,6 +261,13 @@ class OrdinalModel:
                 break
         self.w, self.cuts = p[:d], np.sort(p[d:])
 
+    def even_cuts(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Moves each cut to where its two neighbouring levels err equally often, taking their scores as normal. The fitted cuts of a wide gap lie anywhere in it."""
+        score = self.score(x)
+        mean, sd = (np.array([f(score[y == k]) for k in self.levels]) for f in (np.mean, np.std))
+        sd = np.maximum(sd, 1e-6)
+        self.cuts = np.sort((mean[1:] * sd[:-1] + mean[:-1] * sd[1:]) / (sd[1:] + sd[:-1]))
+
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.sd, -4, 4)
 
@@ -240,37 +292,60 @@ class Reader:
         shape = np.array([shape_features(t) for _, t in texts])
         self.prose = OrdinalModel(shape, (level > 0).astype(int))
         keep = level > 0
-        self.hard = OrdinalModel(np.array([level_features(t, rarity) for (_, t), k in zip(texts, keep) if k]), level[keep])
+        feats, words = self._measures([t for (_, t), k in zip(texts, keep) if k])
+        self.centre = feats.mean(0)
+        self.hard = OrdinalModel(self._steady(feats, words), level[keep])
+        self.hard.even_cuts(self._steady(feats, words), level[keep])
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _measures(self, cleaned: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([level_features(t, self.rarity) for t in cleaned]), np.array([len(measure(t)[2]) for t in cleaned])
+
+    def _steady(self, feats: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The measures of few words drawn towards the means of the graded prose."""
+        return self.centre + (feats - self.centre) * (words / (words + PRIOR_WORDS))[:, None]
+
+    def grade(self, shape: np.ndarray, feats: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(prose, level, score): the probability of running prose, the level (0 where that is below a half or there is no word), and the expected level of the prose (0 without any)."""
-        cleaned = [clean(t) if t else "" for t in texts]
-        shape, feats = np.array([shape_features(t) for t in cleaned]), np.array([level_features(t, self.rarity) for t in cleaned])
-        some = feats[:, 1] > 0
+        some, feats = words > 0, self._steady(feats, words)
         prose = np.where(some, _sigmoid(self.prose.score(shape) - self.prose.cuts[0]), 0.0)
         yes = prose >= 0.5
         return prose, np.where(yes, self.hard.level(feats), 0), np.where(yes, self.hard.expected(feats), 0.0)
 
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """grade() of texts."""
+        cleaned = [clean(t) if t else "" for t in texts]
+        return self.grade(np.array([shape_features(t) for t in cleaned]), *self._measures(cleaned))
+
+    def grade_measured(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """grade() of a batch of measured texts."""
+        shape, feats = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1).copy() for c in ("shape", "level"))
+        size = b.column("buckets").value_lengths().to_numpy(zero_copy_only=False)
+        bits = self.rarity[b.column("buckets").flatten().to_numpy()].astype(np.float64)
+        feats[:, RARITY] = np.bincount(np.repeat(np.arange(b.num_rows), size), bits, b.num_rows) / np.maximum(size, 1)
+        return self.grade(shape, feats, size)
 
-def fit(docs: DataFrame, samples: DataFrame, text: str = "text") -> Reader:
+
+def fit(done: DataFrame, samples: DataFrame) -> Reader:
     rows = samples.filter("level is not null and text is not null").select("level", "text").limit(MOST_SAMPLES + 1).collect()
     if len(rows) > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} graded samples")
-    return Reader(sorted((int(r.level), r.text) for r in rows), rarity_bits(word_counts(docs, text)))
+    return Reader(sorted((int(r.level), r.text) for r in rows), rarity_bits(bucket_counts(done)))
 
 
 def levels(docs: DataFrame, samples: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, prose, level, score) of every row. Null, empty and blank texts have level 0 and prose 0; repeated rows stay. The samples must hold at least two levels above 0, and level 0."""
-    reader = docs.sparkSession.sparkContext.broadcast(fit(docs, samples, text))
+    """(id, prose, level, score) of every row. Null, empty and blank texts have level 0 and prose 0; repeated rows stay. The samples must hold at least two levels above 0, and level 0.
+
+    The texts are read once; their measures are written, counted and graded.
+    """
+    done = stash(measured(docs, id_, text), "measured")
+    reader = docs.sparkSession.sparkContext.broadcast(fit(done, samples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column(1))
-            for lo in range(0, len(texts), 256):
-                prose, level, score = reader.value.read(texts[lo : lo + 256])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), pa.array(prose), pa.array(level.astype(np.int32)), pa.array(score)], names=[id_, "prose", "level", "score"])
+            prose, level, score = reader.value.grade_measured(b)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prose), pa.array(level.astype(np.int32)), pa.array(score)], names=[id_, "prose", "level", "score"])
 
-    return docs.select(id_, text).mapInArrow(run, f"`{id_}` {docs.schema[id_].dataType.simpleString()}, prose double, level int, score double")
+    return done.mapInArrow(run, f"`{id_}` {docs.schema[id_].dataType.simpleString()}, prose double, level int, score double")
 
 
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
