@@ -57,7 +57,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _END = re.compile(r"[.!?…]+(?=[\"'»”)\]]*(?:\s|$))|\n{2,}")
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _CLAUSE = re.compile(r"[,;:()–—]|\s-\s")
-_ABBREVIATION = re.compile(r"\b(?:cf|ff|pp?|vgl|bzw|z\.\s?b|e\.g|i\.e|etc|no|nr|fig|bd|vol|ca|ed|eds|op)\.", re.I)
+_ABBREVIATION = re.compile(r"\b(?:cf|ff|pp?|vgl|bzw|z|e\.g|i\.e|etc|no|nr|fig|bd|vol|ca|ed|eds|op)\.", re.I)
 
 
 def clean(text: str) -> str:
@@ -107,10 +107,10 @@ def _is_word(token: str) -> bool:
 
 
 @functools.lru_cache(maxsize=200_000)
-def _token(token: str) -> tuple[int, int, int, int, int, int, int]:
-    """(characters, letters, digits, a word, a word of three or more, a word that ends in a mark, a word of two letters or more)."""
+def _token(token: str) -> tuple[int, int, int, int, int, int, int, str]:
+    """(characters, letters, digits, a word, a word of three or more, a word that ends in a mark, a word of two letters or more, the token without the dot of an abbreviation)."""
     word = _is_word(token)
-    return (len(token), sum(map(len, _LETTERS.findall(token))), sum(map(len, _DIGITS.findall(token))), int(word), int(word and len(token) > 2), int(word and token[-1] in ".,;:!?"), int(word and len(token) > 1 and len(token.strip(".,;:!?()")) > 1))
+    return (len(token), sum(map(len, _LETTERS.findall(token))), sum(map(len, _DIGITS.findall(token))), int(word), int(word and len(token) > 2), int(word and token[-1] in ".,;:!?"), int(word and len(token) > 1 and len(token.strip(".,;:!?()")) > 1), _ABBREVIATION.sub(lambda m: m.group()[:-1], token))
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -136,18 +136,17 @@ def measure(text: str) -> tuple[list[float], list[float], list[int]]:
     for line in text.split("\n"):
         tokens = line.split()
         if not tokens:
-            keep.append(line)
+            keep.append("")
             continue
-        a, b, c, d, e, f, g = map(sum, zip(*map(_token, tokens)))
+        *facts, plain = zip(*map(_token, tokens))
+        a, b, c, d, e, f, g = map(sum, facts)
         n, letters, digits, words, long, ends, count = n + a, letters + b, digits + c, words + d, long + e, ends + f, count + len(tokens)
         if 2 * g >= len(tokens):
-            keep.append(line)
+            keep.append(" ".join(plain))
     n, count = max(1, n), max(1, count)
     shape = [letters / n, digits / n, (n - letters - digits) / n, words / count, long / count, ends / max(1, words)]
 
     prose = "\n".join(keep)
-    if "." in prose:
-        prose = _ABBREVIATION.sub(lambda m: m.group()[:-1], prose)
     lengths, found = [], []
     for sentence in _END.split(prose):
         if sentence and (here := _WORD.findall(sentence)):
