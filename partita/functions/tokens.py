@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -240,10 +241,11 @@ def ends_on_bar_line(ids: Column) -> Column:
     return F.coalesce(F.when(sig, F.try_element_at(tail, F.lit(-2)) == _id("Bar_None")).otherwise(last == _id("Bar_None")), F.lit(False))
 
 
-def pad_to_bars(ids: Column, n: Column) -> Column:
-    """Empty bars appended until there are n, in the first meter of ids (4/4 without one); more than n is an error."""
+def pad_to_bars(ids: Column, n: Column, meter: Column | None = None) -> Column:
+    """Empty bars appended until there are n, in the first meter of ids (without one: `meter`, else 4/4); more than n is an error."""
     have = count_bars(ids)
-    sig = F.coalesce(F.try_element_at(F.filter(ids, lambda x: _in(x, ids_of("TimeSig_"))), F.lit(1)), _id("TimeSig_4/4"))
+    own = F.try_element_at(F.filter(ids, lambda x: _in(x, ids_of("TimeSig_"))), F.lit(1))
+    sig = F.coalesce(own, *([meter] if meter is not None else []), _id("TimeSig_4/4"))
     more = F.when(have > n, F.raise_error(F.concat(F.lit("prompt spans "), have.cast("string"), F.lit(" bars > "), n.cast("string"))).cast("int")).otherwise(n - have).cast("int")
     return F.concat(ids, F.flatten(F.array_repeat(F.array(_id("Bar_None"), sig), more)))
 
@@ -305,88 +307,114 @@ def filled_program(ids: Column) -> Column:
     return F.aggregate(ids, F.array().cast("array<int>"), step)
 
 
+@functools.cache
+def _token_classes() -> dict[str, np.ndarray]:
+    """For each id of the vocabulary: whether it is a pitch, velocity or program, and for pitches the room to the ends of their range."""
+    n = len(vocabulary())
+    of = lambda p: np.array(ids_of(p))
+    out = {k: np.zeros(n, bool) for k in ("pitch", "velocity", "program")} | {k: np.zeros(n, np.int64) for k in ("down", "up")}
+    out["velocity"][of("Velocity_")] = out["program"][of("Program_")] = True
+    for p in ("Pitch_", "PitchDrum_"):
+        x = of(p)
+        out["pitch"][x], out["down"][x], out["up"][x] = True, x - x.min(), x.max() - x
+    return out
+
+
+def augment_batch(ids: np.ndarray, sizes: np.ndarray, shift: np.ndarray, jitter: np.ndarray) -> np.ndarray:
+    """The ids of many streams, laid end to end, augmented by each stream's own shift and jitter.
+
+    Pitches outside drum stretches move by the shift as far as the stream's lowest and highest of them leave room,
+    velocities by the jitter within their range. A stretch goes from one Program (or the stream's start) to the next.
+    """
+    if not len(ids):
+        return ids
+    c, stream = _token_classes(), np.repeat(np.arange(len(sizes)), sizes)
+    begins = np.flatnonzero(c["program"][ids] | np.concatenate([[True], stream[1:] != stream[:-1]]))
+    drums = np.repeat(ids[begins] == vocabulary()["Program_-1"], np.diff(np.append(begins, len(ids))))
+    moves = c["pitch"][ids] & ~drums
+    room = np.iinfo(np.int64).max
+    down, up = np.full(len(sizes), room), np.full(len(sizes), room)
+    np.minimum.at(down, stream[moves], c["down"][ids[moves]])
+    np.minimum.at(up, stream[moves], c["up"][ids[moves]])
+    by = np.clip(shift, -down, up)
+    velocity = c["velocity"][ids]
+    lo, hi = min(ids_of("Velocity_")), max(ids_of("Velocity_"))
+    return ids + np.where(moves, by[stream], 0) + np.where(velocity, np.clip(ids + jitter[stream], lo, hi) - ids, 0)
+
+
 def shift_and_jitter(ids: np.ndarray, shift: int, jitter: int) -> np.ndarray:
-    """Ids with pitched notes moved by `shift`, brought towards 0 until none leaves its range, and velocities by `jitter` steps; drum stretches keep their pitches."""
-    v = vocabulary()
-    pitch, drum, vel, prog = (np.array(ids_of(p)) for p in ("Pitch_", "PitchDrum_", "Velocity_", "Program_"))
-    a = np.asarray(ids)
-    is_prog = np.isin(a, prog)
-    last = np.maximum.accumulate(np.where(is_prog, np.arange(len(a)), -1)) if len(a) else np.array([], int)
-    on_drums = np.where(last >= 0, a[np.clip(last, 0, None)], -1) == v["Program_-1"] if len(a) else np.array([], bool)
-    is_pitch, is_drum, is_vel = np.isin(a, pitch), np.isin(a, drum), np.isin(a, vel)
-    while shift and ((is_pitch & ((a + shift < pitch[0]) | (a + shift > pitch[-1]))) | (is_drum & ((a + shift < drum[0]) | (a + shift > drum[-1])))).any():
-        shift -= 1 if shift > 0 else -1
-    out = np.where((is_pitch | is_drum) & ~on_drums, a + shift, a)
-    return np.where(is_vel, np.clip(out + jitter, vel[0], vel[-1]), out)
+    """augment_batch of one stream."""
+    x = np.asarray(ids, dtype=np.int64)
+    return augment_batch(x, np.array([len(x)]), np.array([shift]), np.array([jitter]))
 
 
 def augmented(docs: DataFrame, most_shift: int = 6, most_jitter: int = 1, seed: int = 0) -> DataFrame:
-    """(file_id, ids) augmented by a draw that depends on file and seed only."""
+    """(file_id, ids) augmented by a draw that depends on file and seed only; null ids stay null."""
     kind = docs.schema["file_id"].dataType.simpleString()
+    draw = lambda most, salt: (F.pmod(F.xxhash64("file_id", F.lit(seed), F.lit(salt)), F.lit(2 * most + 1)) - most).alias(salt)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for f, ids in zip(b["file_id"], b["ids"]):
-                rng = np.random.default_rng([seed, zlib.crc32(str(f).encode())])
-                out.append(shift_and_jitter(np.array(ids, dtype=np.int64), int(rng.integers(-most_shift, most_shift + 1)), int(rng.integers(-most_jitter, most_jitter + 1))).tolist())
-            yield pd.DataFrame({"file_id": b["file_id"], "ids": out})
-
-    return docs.select("file_id", "ids").mapInPandas(run, f"file_id {kind}, ids array<int>")
+            col = b.column("ids")
+            sizes = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            out = augment_batch(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes, b.column("shift").to_numpy(), b.column("jitter").to_numpy())
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(out.astype(np.int32)), mask=col.is_null())
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), ids], names=["file_id", "ids"])
+
+    return docs.select("file_id", "ids", draw(most_shift, "shift"), draw(most_jitter, "jitter")).mapInArrow(run, f"file_id {kind}, ids array<int>")
+
+
+# What becomes of a sampled token, by the state of the stream and the token's class. States: `line` (nothing given out
+# yet, the prompt ends on a bar line), `open` (nothing yet, the prompt's last bar is open), `bar` and `sig` (a Bar, and
+# a Bar with its TimeSig, wait for a first note), `body`. Actions: pass over, keep back, give out, give out all kept.
+CLEAN = {
+    ("line", "bar"): ("line", "pass"), ("line", "sig"): ("line", "pass"), ("line", "other"): ("body", "give"),
+    ("open", "bar"): ("bar", "keep"), ("open", "sig"): ("open", "pass"), ("open", "other"): ("body", "give"),
+    ("bar", "bar"): ("bar", "pass"), ("bar", "sig"): ("sig", "keep"), ("bar", "other"): ("body", "release"),
+    ("sig", "bar"): ("sig", "pass"), ("sig", "sig"): ("sig", "pass"), ("sig", "other"): ("body", "release"),
+    ("body", "bar"): ("body", "count"), ("body", "sig"): ("body", "give"), ("body", "other"): ("body", "give"),
+}
 
 
-def clean_stream(prompt_on_bar_line: bool, raw: list[int], stop_after: int | None = None, trim: bool = True) -> list[int]:
-    """What a caller gets of sampled ids: EOS ends it and is kept, SEP, MASK and BOS end it; leading empty bars are swallowed, but for the one that closes an open prompt bar; the bar after `stop_after` ends it."""
-    s = CleanState(prompt_on_bar_line, stop_after, trim)
-    out: list[int] = []
-    for t in raw:
-        out += s.push(t)
-        if s.done:
-            break
-    return out
+@functools.cache
+def _clean_class() -> dict[int, str]:
+    v = vocabulary()
+    ends = {v["EOS_None"]: "eos", v["Bar_None"]: "bar"} | {v[f"{x}_None"]: "stop" for x in ("SEP", "MASK", "BOS")}
+    return dict.fromkeys(ids_of("TimeSig_"), "sig") | ends
 
 
-class CleanState:
-    """clean_stream one token at a time, as state of a stream."""
+def clean_start(on_bar_line: bool, stop_after: int | None = None, trim: bool = True) -> dict:
+    """The state of a stream of which no token has come. Plain values only, so that it can be stored."""
+    return {"at": ("line" if on_bar_line else "open") if trim else "body", "kept": [], "bars": int(bool(stop_after) and on_bar_line), "most": stop_after or 0}
 
-    def __init__(self, prompt_on_bar_line: bool, stop_after: int | None, trim: bool):
-        self.limit, self.started, self.may_hold, self.held, self.done = stop_after or 0, not trim, not prompt_on_bar_line, [], False
-        self.bars = 1 if self.limit and prompt_on_bar_line else 0
 
-    def push(self, t: int) -> list[int]:
-        v = vocabulary()
-        if t == v["EOS_None"]:
-            self.done = True
-            return [t]
-        if t in (v["SEP_None"], v["MASK_None"], v["BOS_None"]):
-            self.done = True
+def clean_step(s: dict, token: int) -> list[int]:
+    """What is given out for a token; moves the state on."""
+    kind = _clean_class().get(token, "other")
+    if s["at"] == "done":
+        return []
+    if kind in ("eos", "stop"):
+        s["at"] = "done"
+        return [token] if kind == "eos" else []
+    s["at"], action = CLEAN[s["at"], kind]
+    if action == "keep":
+        s["kept"].append(token)
+    if action == "count" or (action == "release" and s["kept"]):
+        s["bars"] += 1
+        if action == "count" and 0 < s["most"] < s["bars"]:
+            s["at"] = "done"
             return []
-        out: list[int] = []
-        if not self.started:
-            if t == v["Bar_None"]:
-                if self.may_hold and not self.held:
-                    self.held = [t]
-                return []
-            if t in _timesigs():
-                if len(self.held) == 1:
-                    self.held.append(t)
-                return []
-            self.started = True
-            self.bars += bool(self.limit and self.held)
-            out, self.held = self.held, []
-        if self.limit and t == v["Bar_None"]:
-            self.bars += 1
-            if self.bars > self.limit:
-                self.done = True
-                return out
-        return [*out, t]
+    if action == "release":
+        kept, s["kept"] = s["kept"], []
+        return [*kept, token]
+    return [token] if action in ("give", "count") else []
 
 
-@functools.cache
-def _timesigs() -> frozenset:
-    return frozenset(ids_of("TimeSig_"))
+def clean_stream(on_bar_line: bool, raw: list[int], stop_after: int | None = None, trim: bool = True) -> list[int]:
+    """What a caller gets of sampled ids: EOS ends it and is kept, SEP, MASK and BOS end it; leading empty bars are swallowed, but for the one that closes an open prompt bar; the bar after `stop_after` ends it."""
+    s = clean_start(on_bar_line, stop_after, trim)
+    return [x for t in raw for x in clean_step(s, t)]
 
 
 def drop_families(header: Column, key: Column, p_family: float, p_all: float) -> Column:

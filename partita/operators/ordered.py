@@ -115,13 +115,13 @@ def splice(score: DataFrame, fill: DataFrame, lo: Column, hi: Column, shift: Col
 
 
 # Words that name drums anywhere, and those that need to stand alone: fixed values.
-DRUM_WORDS = "drum|perc|kick|snare|cymbal|hihat|hi-hat|clap|batter|schlag"
-DRUM_ALONE = "drm|kit|hat|tom|beat|808|909"
+DRUM_WORDS = ("drum", "perc", "kick", "snare", "cymbal", "hihat", "hi-hat", "clap", "batter", "schlag")
+DRUM_ALONE = ("drm", "kit", "hat", "tom", "beat", "808", "909")
 
 
 def name_says_drums(name: Column) -> Column:
     n = F.lower(F.coalesce(name, F.lit("")))
-    return n.rlike(DRUM_WORDS) | n.rlike(f"(?<![0-9a-z])({DRUM_ALONE})(?![0-9a-z])")
+    return n.rlike("|".join(DRUM_WORDS)) | n.rlike(f"(?<![0-9a-z])({'|'.join(DRUM_ALONE)})(?![0-9a-z])")
 
 
 def looks_like_drums(notes: DataFrame, least: int = 16) -> DataFrame:

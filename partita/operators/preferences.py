@@ -286,7 +286,7 @@ def sample_top_k(logits: np.ndarray, u: float, temperature: float = 1.0, top_k:
     floor = np.sort(v)[len(v) - max(1, top_k)] if top_k is not None and top_k < len(v) else -np.inf
     keep = v >= floor
     if not np.isfinite(v[keep]).any():
-        raise ValueError("every token is banned: nothing to sample")
+        raise ValueError("no token may be drawn")
     w = np.where(keep, np.exp((v - v[keep].max()).astype(np.float64)), 0.0).astype(np.float32).astype(np.float64)
     ids = np.flatnonzero(w > 0)
     below = np.flatnonzero(u * w.sum() - np.cumsum(w[ids]) < 0)

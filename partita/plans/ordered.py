@@ -174,7 +174,7 @@ ORACLE = {
       h AS (SELECT es.file_id, b, arg_min(bar, (round(abs(seconds - b * 14400 * (60.0 / (120.0 * 3600))::DOUBLE - 30), 9), bar)) AS j FROM es JOIN c USING (file_id) WHERE bar > b GROUP BY ALL)
       SELECT en.file_id, CASE WHEN nb * 14400 * (60.0 / (120.0 * 3600))::DOUBLE <= 32 OR j IS NULL THEN 0 ELSE b * 14400 END AS lo, CASE WHEN nb * 14400 * (60.0 / (120.0 * 3600))::DOUBLE <= 32 OR j IS NULL THEN nb * 14400 ELSE j * 14400 END AS hi
       FROM en LEFT JOIN h USING (file_id)""",
-    "drum_name_predicate": f"""SELECT DISTINCT path, regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '{O.DRUM_WORDS}') OR regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '(^|[^0-9a-z])({O.DRUM_ALONE})([^0-9a-z]|$)') AS drums FROM manifest""",
+    "drum_name_predicate": f"""SELECT DISTINCT path, regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '{"|".join(O.DRUM_WORDS)}') OR regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '(^|[^0-9a-z])({"|".join(O.DRUM_ALONE)})([^0-9a-z]|$)') AS drums FROM manifest""",
     "normalize_drums": f"""WITH {NOTES}, x AS (SELECT file_id, track_name, CASE WHEN track_name = 'view' AND file_id % 2 = 0 THEN 35 + pitch % 4 * 3 + (CASE WHEN pitch % 4 = 3 THEN 2 ELSE 0 END) ELSE pitch END AS pitch FROM notes, range(2))
       SELECT file_id, track_name, count(*) >= 16 AND count(DISTINCT pitch) <= 8 AND avg((pitch BETWEEN 35 AND 59)::INT) >= 0.85 AND bool_or(pitch IN (35, 36)) AND bool_or(pitch IN (38, 40)) AND bool_or(pitch IN (42, 44, 46))
         OR (file_id % 7 = 0 AND count(*) OVER (PARTITION BY file_id) = 1) AS is_drum, count(*) AS n FROM x GROUP BY file_id, track_name""",

@@ -95,12 +95,7 @@ _EMB = "em AS (SELECT a.vec_id AS pair_id, a.label AS grp, list_transform(range(
 
 
 def metric_agreement(s, d):
-    """How often each of the first 16 components is larger for the winner, among the pairs in which it differs."""
-    return _agreement(_emb(s, d).select(F.posexplode(F.slice("diff", 1, 16)).alias("metric", "v")))
-
-
-def metric_agreement_whole(s, d):
-    """The same of every component."""
+    """How often each component is larger for the winner, among the pairs in which it differs."""
     return _agreement(_emb(s, d).select(F.posexplode("diff").alias("metric", "v")))
 
 
@@ -216,7 +211,7 @@ QUERIES = {
     "spearman_avg_rank": lambda s, d: _r(P.spearman(_scored(s, d), "quality", "notes", ["source"]), 8),
     "per_source_bias": lambda s, d: _r(P.spearman(_scored(s, d).withColumn("pred", F.col("notes") / 1000), "quality", "pred", ["source"]).join(_scored(s, d).groupBy("source").agg(F.avg("quality").alias("mean_true"), F.avg(F.col("notes") / 1000).alias("mean_pred"), F.avg(F.abs(F.col("quality") - F.col("notes") / 1000)).alias("mae")), "source"), 8),
     "group_advantage": lambda s, d: _r(P.group_advantage(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", "o_totalprice"), 6).drop("o_totalprice"),
-    "calibration": calibrate, "per_metric_agreement": metric_agreement, "per_metric_agreement_whole": metric_agreement_whole, "linear_reward": reward, "topk_mask": top_k_mask, "seeded_topk_sample": seeded_sample,
+    "calibration": calibrate, "per_metric_agreement": metric_agreement, "linear_reward": reward, "topk_mask": top_k_mask, "seeded_topk_sample": seeded_sample,
     "ridge_fit": ridge, "grouped_cv_alpha": cv, "logo_accuracy": lambda s, d: P.leave_group_out(_emb(s, d)), "layer_sweep": layer_sweep,
     "bradley_terry": lambda s, d: s.createDataFrame([(i, float(v)) for i, v in enumerate(P.fit_bt_rows(_emb(s, d)))], "feature int, weight double"),
     "scorecard_agg": scorecard, "checkpoint_compare": compare, "least_used_prompt": prompts, "lr_schedules": schedules, "decoder_agreement": agreement_of_decoders,
@@ -252,8 +247,7 @@ ORACLE = {
     "group_advantage": "WITH g AS (SELECT o_custkey, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders GROUP BY 1 HAVING count(*) > 1) SELECT o_orderkey, o_custkey, round((o_totalprice - m) / (s + 1e-6), 6) AS advantage FROM orders JOIN g USING (o_custkey)",
     "calibration": f"""WITH {_EMB}, p AS (SELECT 1 / (1 + exp(-3 * d[1])) AS p FROM em), x AS (SELECT p, 1.0 AS y FROM p UNION ALL SELECT 1 - p, 0.0 FROM p), e AS (SELECT quantile_cont(p, [0.25, 0.5, 0.75]) AS e FROM x)
       SELECT ((p >= e[1])::INT + (p >= e[2])::INT + (p >= e[3])::INT)::INT AS bin, round(avg(p), 9) AS predicted, round(avg(y), 9) AS empirical, count(*) AS n FROM x, e GROUP BY 1""",
-    "per_metric_agreement": f"WITH {_EMB}, x AS (SELECT unnest(range(16))::INT AS metric, unnest(d[1:16]) AS v FROM em) SELECT metric, round(avg((v > 0)::INT), 9) AS agreement, count(*) AS n FROM x WHERE v <> 0 GROUP BY 1",
-    "per_metric_agreement_whole": f"WITH {_EMB}, x AS (SELECT unnest(range(64))::INT AS metric, unnest(d) AS v FROM em) SELECT metric, round(avg((v > 0)::INT), 9) AS agreement, count(*) AS n FROM x WHERE v <> 0 GROUP BY 1",
+    "per_metric_agreement": f"WITH {_EMB}, x AS (SELECT unnest(range(64))::INT AS metric, unnest(d) AS v FROM em) SELECT metric, round(avg((v > 0)::INT), 9) AS agreement, count(*) AS n FROM x WHERE v <> 0 GROUP BY 1",
     "linear_reward": f"WITH {_EMB} SELECT pair_id, round(list_sum(list_transform(range(64), lambda i: d[i + 1] / (CASE WHEN i % 16 = 0 THEN 1 ELSE 0.1::DOUBLE + i / 64::DOUBLE END) * (((i * 7) % 11 - 5) / 5::DOUBLE))), 9) AS reward FROM em",
     "topk_mask": "WITH e AS (SELECT vec_id, unnest(range(64))::INT AS id, unnest(embedding)::DOUBLE / 0.8::DOUBLE AS x FROM embeddings), k AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY x DESC) AS r FROM e WHERE id NOT IN (3, 17)) SELECT vec_id, id, round(x, 6) AS x FROM k WHERE r <= 5",
     "scorecard_agg": f"""WITH m AS (SELECT {clean_source_sql()} AS source, unnest(['notes', 'seconds', 'tracks']) AS metric, unnest([n_notes::DOUBLE, duration_seconds, n_tracks::DOUBLE]) AS v FROM (SELECT DISTINCT * FROM manifest))

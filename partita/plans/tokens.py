@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 from partita.functions import documents as D
 from partita.functions import notes as N
 from partita.functions import tokens as T
-from partita.plans.notes import NOTES, TPQ, _n
+from partita.plans.notes import NOTES, TPQ, _n, _tempos
 from partita.tables import table
 
 V = T.vocabulary()
 BAR, EOS, BOS, SEP, MASK = (V[f"{x}_None"] for x in ("Bar", "EOS", "BOS", "SEP", "MASK"))
 
 
+def _played(s, d):
+    """Events as notes of 120 times their pace, so that a month spans some bars; drums on percussion keys."""
+    drum = F.col("is_drum")
+    n = _n(s, d).withColumn("program", F.when(drum, -1).otherwise(F.col("program")).cast("int")).withColumn("pitch", F.when(drum, 35 + F.col("pitch") % 20).otherwise(F.col("pitch")))
+    return n.withColumn("start", F.floor(F.col("start") / 12)).withColumn("duration", F.floor(F.col("duration") / 4))
+
+
+def _path():
+    return F.concat(F.lit("/raw/user/"), "file_id", F.lit(".mid"))
+
+
+def _meters():
+    """3/4, or 4/4 with 6/8 from within the third bar on, or 4/4, by file."""
+    m = lambda t, n, d: F.struct(F.lit(t).cast("long").alias("time"), F.lit(n).alias("num"), F.lit(d).alias("den"))
+    by = F.col("file_id") % 3
+    return F.when(by == 0, F.array(m(0, 3, 4))).when(by == 1, F.array(m(0, 4, 4), m(9 * TPQ, 6, 8))).otherwise(F.array(m(0, 4, 4)))
+
+
 def _scores(s, d):
-    """Events as scores of 120 times their pace, so that a month spans some bars."""
-    n = _n(s, d).withColumn("program", F.when(F.col("is_drum"), -1).otherwise(F.col("program"))).withColumn("pitch", F.when(F.col("is_drum"), 35 + F.col("pitch") % 20).otherwise(F.col("pitch")))
-    note = F.struct(F.floor(F.col("start") / 12).alias("start"), "note_idx", F.col("track_name").alias("track"), F.col("program").cast("int").alias("program"), F.floor(F.col("duration") / 4).alias("duration"), "pitch", "velocity")
-    meters = F.when(F.col("file_id") % 3 == 0, F.array(F.struct(F.lit(0).cast("long").alias("time"), F.lit(3).alias("num"), F.lit(4).alias("den")))).when(
-        F.col("file_id") % 3 == 1, F.array(F.struct(F.lit(0).cast("long").alias("time"), F.lit(4).alias("num"), F.lit(4).alias("den")), F.struct(F.lit(8 * TPQ).cast("long").alias("time"), F.lit(6).alias("num"), F.lit(8).alias("den")))).otherwise(
-        F.array(F.struct(F.lit(0).cast("long").alias("time"), F.lit(4).alias("num"), F.lit(4).alias("den"))))
-    return n.groupBy("file_id").agg(F.array_sort(F.collect_list(note)).alias("notes")).select("file_id", F.concat(F.lit("/raw/user/"), "file_id", F.lit(".mid")).alias("path"), F.lit(TPQ).alias("tpq"), meters.alias("meters"), "notes")
+    note = F.struct("start", "note_idx", F.col("track_name").alias("track"), "program", "duration", "pitch", "velocity")
+    return _played(s, d).groupBy("file_id").agg(F.array_sort(F.collect_list(note)).alias("notes")).select("file_id", _path().alias("path"), F.lit(TPQ).alias("tpq"), _meters().alias("meters"), "notes")
 
 
 def encoded(s, d):
@@ -50,9 +63,33 @@ def roundtrip(s, d):
     return encoded(s, d).mapInPandas(run, "file_id long, same boolean, bars int, notes int")
 
 
+def _documents(s, d):
+    tempo = N.dominant_tempo(_tempos(s, d), _n(s, d).groupBy("file_id").agg(F.max(F.col("start") + F.col("duration")).alias("end")))
+    files = _played(s, d).select("file_id").distinct().join(tempo, "file_id", "left")
+    meters = F.when(F.col("file_id") % 11 == 7, F.array(F.struct(F.lit(0).cast("long").alias("time"), F.lit(11).alias("num"), F.lit(16).alias("den")))).otherwise(_meters())
+    files = files.select(_path().alias("path"), F.lit(TPQ).alias("tpq"), meters.alias("meters"), N.tempo_token(F.col("tempo"), F.col("tempo"), F.lit("user")).alias("tempo"), F.lit("user").alias("source"), F.element_at(F.array(*map(F.lit, T.GENRES)), (F.col("file_id") % 16 + 1).cast("int")).alias("genre"))
+    return D.build(D.scores_of(_played(s, d).withColumn("file_id", _path()), files))
+
+
 def documents(s, d):
-    x = D.build(_scores(s, d))
-    return x.select("path", "kind", "part", F.size("ids").alias("tokens"), "skip", T.count_bars(F.col("ids")).alias("bars"))
+    return _documents(s, d).select("path", "kind", "part", F.size("ids").alias("tokens"), "skip", T.count_bars(F.col("ids")).alias("bars"))
+
+
+def document_views(s, d):
+    """How many continuation documents a file gives (itself and up to two of its long tracks), or why it gives none."""
+    return _documents(s, d).groupBy("path").agg(F.count_if(F.col("kind") == "continuation").alias("views"), F.max("skip").alias("skip"))
+
+
+def bar_lines(s, d):
+    """Bar lines of every file under its own meters, to the first one past its end."""
+    x = _played(s, d).groupBy("file_id").agg(F.max(F.col("start") + F.col("duration")).alias("end"))
+    return x.select("file_id", F.posexplode(D.bar_starts(_meters(), F.col("end"), F.lit(TPQ))).alias("bar", "edge"))
+
+
+def bar_bounds(s, d):
+    """Bar lines before a file's end, and the end."""
+    x = _played(s, d).groupBy("file_id").agg(F.max(F.col("start") + F.col("duration")).alias("end"))
+    return x.select("file_id", F.posexplode(D.bar_bounds(_meters(), F.col("end"), F.lit(TPQ))).alias("bar", "edge"))
 
 
 def _toks(s, d):
@@ -72,13 +109,6 @@ def _text(c):
 
 
 def layouts(s, d):
-    h, b = T.split_header(F.col("ids"))
-    x = _toks(s, d).select("file_id", h.alias("h"), b.alias("b"))
-    half = lambda k: F.slice("b", 1 + 20 * k, 20)
-    return x.select("file_id", _text(T.continuation(F.col("h"), half(0))).alias("continuation"), _text(T.accompaniment(F.col("h"), half(0), half(1), end=True)).alias("accompaniment"), _text(T.infill(F.col("h"), half(0), half(1), half(2))).alias("infill"))
-
-
-def layouts_whole(s, d):
     """Layouts of whole streams: accompaniment from half to half, infill with the middle third masked."""
     h, b = T.split_header(F.col("ids"))
     x = _toks(s, d).select("file_id", h.alias("h"), b.alias("b"), F.size(b).alias("n"))
@@ -143,16 +173,6 @@ def header_sorting(s, d):
 
 
 def rendered(s, d):
-    """Bars as text, beat:pitch:length of each note, for judges; four bars of 128 beats each, empty ones marked."""
-    n = _n(s, d).filter("not is_drum")
-    beat = F.col("start") / F.lit(float(TPQ))
-    x = n.withColumn("bar", F.floor(beat / 128)).filter("bar < 4").withColumn("txt", F.concat_ws(":", F.format_string("%.2f", F.floor((F.col("start") - F.col("bar") * (128 * TPQ)) / 36) / F.lit(100.0)), T.pitch_name(F.col("pitch")), F.format_string("%.2f", F.floor(F.col("duration") / 36) / F.lit(100.0))))
-    g = x.groupBy("file_id", "bar").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "pitch", "note_idx", "txt"))), lambda z: z["txt"]), " ").alias("line"))
-    grid = n.select("file_id").distinct().withColumn("bar", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
-    return grid.join(g, ["file_id", "bar"], "left").select("file_id", "bar", F.coalesce("line", F.lit("(missing)")).alias("line"))
-
-
-def rendered_whole(s, d):
     """Every bar up to a file's last as text, beat:pitch:length of each note and beat:voice of each drum, empty bars marked."""
     n = _n(s, d).withColumn("bar", F.floor(F.col("start") / F.lit(float(TPQ)) / 128))
     at = F.format_string("%.2f", F.floor((F.col("start") - F.col("bar") * (128 * TPQ)) / 36) / F.lit(100.0))
@@ -202,8 +222,8 @@ def windows(s, d):
 
 
 QUERIES = {
-    "remi_encode": encoded, "remi_roundtrip": roundtrip, "doc_builder": documents, "doc_layouts": layouts, "doc_layouts_whole": layouts_whole, "split_header": header_parts, "pad_bars": padded, "fit_context": fitted, "split_bars": bars_cut, "loop_metrics": loops, "half_drift": half_drift,
-    "ffill_program": programs, "postprocess_stream": stream_clean, "header_sort": header_sorting, "pitch_render": rendered, "pitch_render_whole": rendered_whole, "instrument_alias": aliases, "map_ops": maps, "ban_ids": bans, "augment_remap": augment, "training_windows": windows,
+    "remi_encode": encoded, "remi_roundtrip": roundtrip, "doc_builder": documents, "doc_layouts": layouts, "doc_views": document_views, "bar_lines": bar_lines, "bar_bounds": bar_bounds, "split_header": header_parts, "pad_bars": padded, "fit_context": fitted, "split_bars": bars_cut, "loop_metrics": loops, "half_drift": half_drift,
+    "ffill_program": programs, "postprocess_stream": stream_clean, "header_sort": header_sorting, "pitch_render": rendered, "instrument_alias": aliases, "map_ops": maps, "ban_ids": bans, "augment_remap": augment, "training_windows": windows,
     "vocabulary": lambda s, d: T.vocab_table(s).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")),
 }
 
@@ -215,10 +235,18 @@ def _join(x):
     return f"array_to_string({x}, ' ')"
 
 
+_LINES = f"""pl AS (SELECT file_id, max(start // 12 + duration // 4) AS e FROM notes GROUP BY 1),
+ bl AS (SELECT file_id, e, unnest(CASE file_id % 3 WHEN 0 THEN range(0, e + {6 * TPQ} + 1, {3 * TPQ}) WHEN 1 THEN list_concat(range(0, {12 * TPQ}, {4 * TPQ}), range({12 * TPQ}, greatest(e, {12 * TPQ}) + {6 * TPQ} + 1, {3 * TPQ})) ELSE range(0, e + {8 * TPQ} + 1, {4 * TPQ}) END) AS edge FROM pl)"""
+
 ORACLE = {
-    "doc_layouts": f"""WITH {NOTES}, {_T}, x AS (SELECT file_id, ids[1:2] AS h, ids[3:22] AS a, ids[23:42] AS b, ids[43:62] AS c FROM ts)
-      SELECT file_id, {_join(f'[{BOS}] || h || a || [{EOS}]')} AS continuation, {_join(f"[{BOS}, {V['Task_accomp']}] || h || a || [{SEP}] || b || [{EOS}]")} AS accompaniment, {_join(f"[{BOS}, {V['Task_infill']}] || h || a || [{MASK}] || b || [{SEP}] || c")} AS infill FROM x""",
-    "doc_layouts_whole": f"""WITH {NOTES}, {_T}, x AS (SELECT file_id, ids[1:2] AS h, ids[3:] AS b, len(ids) - 2 AS n FROM ts)
+    "bar_lines": f"""WITH {NOTES}, {_LINES}, x AS (SELECT *, count(*) FILTER (edge > e) OVER (PARTITION BY file_id ORDER BY edge) AS past FROM bl)
+      SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY edge) - 1)::INT AS bar, edge FROM x WHERE past <= 1""",
+    "bar_bounds": f"""WITH {NOTES}, {_LINES}, x AS (SELECT file_id, edge FROM bl WHERE edge < e UNION SELECT file_id, e FROM pl)
+      SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY edge) - 1)::INT AS bar, edge FROM x""",
+    "doc_views": f"""WITH {NOTES}, t AS (SELECT file_id, track_name, count(*) AS n FROM notes GROUP BY ALL), f AS (SELECT file_id, sum(n) AS n, count(*) FILTER (n >= {D.VIEW_NOTES}) AS long FROM t GROUP BY 1),
+      k AS (SELECT *, CASE WHEN file_id % 11 = 7 THEN 'timesig' WHEN n < 2 THEN 'empty' END AS skip FROM f)
+      SELECT '/raw/user/' || file_id || '.mid' AS path, CASE WHEN skip IS NULL THEN 1 + CASE WHEN long > 1 THEN 2 ELSE 0 END ELSE 0 END::BIGINT AS views, skip FROM k""",
+    "doc_layouts": f"""WITH {NOTES}, {_T}, x AS (SELECT file_id, ids[1:2] AS h, ids[3:] AS b, len(ids) - 2 AS n FROM ts)
       SELECT file_id, {_join(f'[{BOS}] || h || b || [{EOS}]')} AS continuation, {_join(f"[{BOS}, {V['Task_accomp']}] || h || b[1:n // 2] || [{SEP}] || b[n // 2 + 1:] || [{EOS}]")} AS accompaniment,
         {_join(f"[{BOS}, {V['Task_infill']}] || h || b[1:n // 3] || [{MASK}] || b[2 * n // 3 + 1:] || [{SEP}] || b[n // 3 + 1:2 * n // 3]")} AS infill FROM x""",
     "split_header": f"""WITH {NOTES}, {_T} SELECT file_id, {_join('ids[1:2]')} AS header, (len(ids) - 2)::INT AS body, len(list_filter(ids, lambda x: x = {BAR}))::INT AS bars, ids[-1] = {BAR} OR (ids[-1] {_SIGS} AND ids[-2] = {BAR}) AS on_line FROM ts""",
@@ -236,11 +264,7 @@ ORACLE = {
     "ffill_program": f"""WITH {NOTES}, {_T}, p AS (SELECT file_id, unnest(range(len(ids)))::INT AS pos, unnest(ids) AS t FROM ts)
       SELECT file_id, pos, coalesce(last_value(CASE WHEN t {_PROG} THEN t - {min(T.ids_of('Program_')) + 1} END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY pos), 0)::INT AS program FROM p""",
     "header_sort": f"""WITH {NOTES} SELECT file_id, 'Task_infill Inst_Bass Inst_Piano Density_' || (min(pitch) % 4) || ' Genre_' || {T.GENRES}[file_id % 16 + 1] || ' Quality_1' AS header FROM notes GROUP BY file_id""",
-    "pitch_render": f"""WITH {NOTES}, x AS (SELECT *, floor(start / 3600 / 128)::BIGINT AS bar FROM notes WHERE NOT is_drum), y AS (SELECT file_id, bar, start, pitch, note_idx,
-        printf('%.2f', ((start - bar * 460800) // 36) / 100) || ':' || ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][pitch % 12 + 1] || (pitch // 12 - 1) || ':' || printf('%.2f', (duration // 36) / 100) AS t FROM x WHERE bar < 4),
-      g AS (SELECT file_id, bar, string_agg(t, ' ' ORDER BY start, pitch, note_idx) AS line FROM y GROUP BY ALL)
-      SELECT f.file_id, b.bar, coalesce(line, '(missing)') AS line FROM (SELECT DISTINCT file_id FROM x) f CROSS JOIN (SELECT unnest(range(4)) AS bar) b LEFT JOIN g USING (file_id, bar)""",
-    "pitch_render_whole": f"""WITH {NOTES}, x AS (SELECT *, floor(start / 3600 / 128)::BIGINT AS bar FROM notes), y AS (SELECT file_id, bar, start, pitch, note_idx, printf('%.2f', ((start - bar * 460800) // 36) / 100) || ':' ||
+    "pitch_render": f"""WITH {NOTES}, x AS (SELECT *, floor(start / 3600 / 128)::BIGINT AS bar FROM notes), y AS (SELECT file_id, bar, start, pitch, note_idx, printf('%.2f', ((start - bar * 460800) // 36) / 100) || ':' ||
         CASE WHEN is_drum THEN CASE pitch {' '.join(f"WHEN {k} THEN '{v}'" for k, v in T.GM_DRUMS.items())} ELSE 'Perc' || pitch END
         ELSE ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][pitch % 12 + 1] || (pitch // 12 - 1) || ':' || printf('%.2f', (duration // 36) / 100) END AS t FROM x),
       g AS (SELECT file_id, bar, string_agg(t, ' ' ORDER BY start, pitch, note_idx) AS line FROM y GROUP BY ALL), f AS (SELECT file_id, unnest(range(least(0, min(bar)), max(bar) + 1)) AS bar FROM g GROUP BY file_id)

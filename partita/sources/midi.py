@@ -24,6 +24,10 @@ _BYTES = {0x80: 2, 0x90: 2, 0xA0: 2, 0xB0: 2, 0xC0: 1, 0xD0: 1, 0xE0: 2}
 _SYSTEM = {0xF1: 1, 0xF2: 2, 0xF3: 1, 0xF6: 0, 0xF7: 0, 0xF8: 0, 0xFA: 0, 0xFB: 0, 0xFC: 0, 0xFE: 0}
 
 
+#: Notes on and off, controls and programs, whose data bytes must be right; a bad byte of another channel message does no harm.
+NEEDED = (0x80, 0x90, 0xB0, 0xC0)
+
+
 class MidiError(ValueError):
     pass
 
@@ -36,7 +40,7 @@ class _Chunk:
 
     def take(self, n: int) -> bytes:
         if self.at + n > len(self.data):
-            raise MidiError("unexpected end of data")
+            raise MidiError("the file ends within a value")
         self.at += n
         return self.data[self.at - n : self.at]
 
@@ -73,7 +77,7 @@ class _Chunk:
             else:
                 size = _BYTES.get(b & 0xF0) if b < 0xF0 else _SYSTEM.get(b)
                 if size is None:
-                    raise MidiError(f"unknown status byte {b:#x}")
+                    raise MidiError(f"no event begins with {b:#x}")
                 status = b
                 yield tick, b, 0, self.take(size)
 
@@ -87,7 +91,7 @@ def parse(data: bytes) -> dict:
     if len(data) < 14 or data[:4] != b"MThd":
         raise MidiError("no MThd header")
     if struct.unpack(">I", data[4:8])[0] != 6:
-        raise MidiError("the header chunk is not 6 bytes")
+        raise MidiError("MThd has a length other than 6")
     n_tracks, division = struct.unpack(">HH", data[10:14])
     out = {"tpq": division & 0x7FFF, "tempos": [], "meters": [], "keys": [], "markers": [], "notes": []}
     tracks, end, at, seen = 0, 0, 14, 0
@@ -107,7 +111,6 @@ def _read_track(chunk: _Chunk, out: dict, tracks: int, end: int) -> tuple[int, i
     program, name = [0] * 16, ""
     lines: dict[tuple[int, int], list] = defaultdict(list)
     sounding: dict[tuple[int, int], deque] = defaultdict(deque)
-    others: set[tuple[int, int]] = set()
     for tick, status, kind, d in chunk.events():
         if status == 0xFF:
             if kind == 0x03:
@@ -125,7 +128,7 @@ def _read_track(chunk: _Chunk, out: dict, tracks: int, end: int) -> tuple[int, i
         if status >= 0xF0:
             continue
         what, channel = status & 0xF0, status & 0x0F
-        if max(d, default=0) > 0x7F:
+        if what in NEEDED and max(d, default=0) > 0x7F:
             raise MidiError(f"data byte {max(d)} over 127")
         if what == 0x90 and d[1]:
             note = [tick, None, d[0], d[1]]
@@ -138,7 +141,6 @@ def _read_track(chunk: _Chunk, out: dict, tracks: int, end: int) -> tuple[int, i
         elif what == 0xC0:
             program[channel] = d[0]
         else:
-            others.add((channel, program[channel]))
             end = max(end, tick)
     for (channel, prog), notes in sorted(lines.items()):
         for i, (start, duration, pitch, velocity) in enumerate(n for n in notes if n[1] is not None):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from partita.functions.tokens import CleanState, decode
+from partita.functions.tokens import clean_start, clean_step, decode
 
 CHUNK = 16
 
@@ -120,17 +120,13 @@ def note_stream(tokens: DataFrame, strict_compat: bool = False) -> DataFrame:
 
 
 class CleanStream(_State):
-    """Token clean-up (functions.tokens.CleanState) kept between arrivals."""
+    """Token clean-up (functions.tokens.clean_step) kept between arrivals."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        s = self.load({})
-        c = CleanState(False, 8, True)
-        c.__dict__.update(s)
-        out = []
-        for pos, t in sorted((int(p), int(t)) for pdf in rows for p, t in zip(pdf["pos"], pdf["token"])):
-            if not c.done:
-                out += [(key[0], pos, x) for x in c.push(t)]
-        self.save(c.__dict__)
+        s = self.load(clean_start(False, 8))
+        new = sorted((int(p), int(t)) for pdf in rows for p, t in zip(pdf["pos"], pdf["token"]))
+        out = [(key[0], pos, x) for pos, t in new for x in clean_step(s, t)]
+        self.save(s)
         yield pd.DataFrame(out, columns=["stream", "pos", "token"])
 
 

@@ -225,5 +225,5 @@ def test_agreement_of_every_component(spark, sf):
     from partita.plans import preferences as PP
 
     want = {i for r in PP._emb(spark, sf).select("diff").collect() for i, v in enumerate(r[0]) if v}
-    got = {r.metric for r in PP.QUERIES["per_metric_agreement_whole"](spark, sf).collect()}
+    got = {r.metric for r in PP.QUERIES["per_metric_agreement"](spark, sf).collect()}
     assert got == want and len(got) == 64

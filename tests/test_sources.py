@@ -119,6 +119,28 @@ def test_projects(spark, tmp_path):
     assert clips.filter("path like '%/p.als'").count() == 3
 
 
+def test_silent_tracks_and_clips_and_bad_values(spark, tmp_path):
+    """Muted tracks, disabled clips, empty regions and unreadable keys give no notes of the arrangement; clips by themselves don't mind."""
+    muted = PROJECT.replace("<DeviceChain>", '<DeviceChain><Mixer><Speaker><Manual Value="false"/></Speaker></Mixer>', 1)
+    kinds = {"muted": muted, "off": PROJECT.replace('<CurrentStart', '<Disabled Value="true"/><CurrentStart'), "empty": PROJECT.replace('LoopEnd Value="2"', 'LoopEnd Value="0"'), "key": PROJECT.replace('MidiKey Value="36"', 'MidiKey Value="x"'),
+             "rack": PROJECT.replace("909 kit", "lead").replace("<DeviceChain>", "<DeviceChain><DeviceChain><Devices><DrumGroupDevice/></Devices></DeviceChain>", 1), "slow": PROJECT.replace('Value="174"', 'Value="?"')}
+    for k, text in kinds.items():
+        (tmp_path / f"{k}.als").write_bytes(text.encode())
+    name = F.regexp_extract("path", r"([a-z]+)\.als", 1)
+    got = projects.scan(spark, str(tmp_path)).groupBy(name.alias("f")).agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_drum").alias("drum"), F.max("tempo").alias("tempo")).collect()
+    assert {tuple(r) for r in got} == {("rack", 3, True, 174.0), ("slow", 3, True, 120.0)}
+    clips = {r.f: r.n for r in projects.scan(spark, str(tmp_path), by_clip=True).groupBy(name.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert clips == dict.fromkeys(("muted", "off", "empty", "rack", "slow"), 3)
+
+
+def test_bad_bytes_matter_only_where_they_are_used():
+    body = bytes([0x00, 0x90, 60, 64, 0x00, 0xA0, 60, 200, 0x10, 0x80, 60, 0, 0x00, 0xFF, 0x2F, 0x00])
+    head = b"MThd" + bytes([0, 0, 0, 6, 0, 0, 0, 1, 1, 0xE0])
+    assert [n["pitch"] for n in midi.parse(head + b"MTrk" + len(body).to_bytes(4, "big") + body)["notes"]] == [60]
+    with pytest.raises(midi.MidiError, match="over 127"):
+        midi.parse(head + b"MTrk" + len(body).to_bytes(4, "big") + body.replace(bytes([0xA0]), bytes([0xB0])))
+
+
 def _drain(spark, df, name, tmp_path, mode):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -65,6 +65,21 @@ def test_clean_stream(on_line, raw, stop, trim, want):
     assert T.clean_stream(on_line, raw, stop, trim) == want
 
 
+def test_streams_of_a_batch_are_augmented_by_themselves(spark):
+    rnd = random.Random(1)
+    streams = [[rnd.choice([V["Program_-1"], V["Program_5"], *T.ids_of("Pitch_"), *T.ids_of("PitchDrum_"), *T.ids_of("Velocity_"), BAR]) for _ in range(rnd.randrange(0, 60))] for _ in range(40)] + [[], [V["Pitch_127"], V["Pitch_0"]]]
+    shift, jitter = np.array([rnd.randrange(-6, 7) for _ in streams]), np.array([rnd.randrange(-1, 2) for _ in streams])
+    flat, sizes = np.array([i for x in streams for i in x], dtype=np.int64), np.array([len(x) for x in streams])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = T.augment_batch(flat, sizes, shift, jitter)
+    assert all((out[a:b] == T.shift_and_jitter(np.array(x, dtype=np.int64), int(k), int(j))).all() for x, k, j, a, b in zip(streams, shift, jitter, ends, ends[1:]))
+    family = [n.split("_")[0] for n in V]
+    assert all(family[a] == family[b] for a, b in zip(flat, out)) and out[-2:].tolist() == streams[-1]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(streams)] + [(99, None)], "file_id int, ids array<int>")
+    got = {r.file_id: r.ids for r in T.augmented(df).collect()}
+    assert got[99] is None and got[40] == [] and all(len(got[i]) == len(x) for i, x in enumerate(streams))
+
+
 def test_augment_shrinks_until_nothing_clips_and_leaves_drums():
     ids = np.array([V["Program_-1"], V["PitchDrum_36"], V["Program_0"], V["Pitch_125"], V["Velocity_3"]])
     out = names(T.shift_and_jitter(ids, 6, -1))
@@ -89,26 +104,72 @@ def test_columns(spark):
         df.select(T.sort_header(F.array(F.lit("Foo_1")))).collect()
 
 
-def test_documents_are_reproducible_and_well_formed():
+NOTE_ROW = "file_id string, track_name string, program int, is_drum boolean, note_idx int, start long, duration long, pitch int, velocity int"
+
+
+def build(spark, files, meters=((0, 4, 4),), **more):
+    """Documents of {path: [(track, program, notes)]}, all under the same meters."""
+    rows = [(path, t, max(p, 0), p == -1, i, *n) for path, tracks in files.items() for t, p, ns in tracks for i, n in enumerate(ns)]
+    heads = spark.createDataFrame([(path, 480, [tuple(m) for m in meters]) for path in files], "path string, tpq int, meters array<struct<time:long,num:int,den:int>>").withColumns({k: F.lit(v) for k, v in more.items()})
+    return D.build(D.scores_of(spark.createDataFrame(rows, NOTE_ROW), heads))
+
+
+def test_documents_are_reproducible_and_well_formed(spark):
     rnd = random.Random(3)
     line = lambda lo, hi, n, step, d: [(i * step, d, rnd.randrange(lo, hi), 80) for i in range(n)]
-    tracks = [(0, line(60, 80, 400, 240, 200)), (33, line(30, 45, 120, 960, 900)), (-1, line(36, 46, 300, 240, 60))]
-    docs = D.documents_of("/raw/lakh/a.mid", tracks, [(0, 4, 4)], 480, D.instrument_header)
-    assert docs == D.documents_of("/raw/lakh/a.mid", tracks, [(0, 4, 4)], 480, D.instrument_header)
-    kinds = {k for k, _ in docs}
-    assert kinds == {"continuation", "accompaniment", "infill"}
-    for kind, ids in docs:
+    band = [("lead", 0, line(60, 80, 400, 240, 200)), ("low", 33, line(30, 45, 120, 960, 900)), ("beat", -1, line(36, 46, 300, 240, 60))]
+    hands, melody = [("p", 0, sorted(line(40, 50, 60, 1920, 1900) + line(60, 80, 400, 240, 100)))], [("m", 0, line(40, 80, 500, 240, 200))]
+    files = {**{f"/raw/lakh/{i}.mid": band for i in range(4)}, "hands": hands, "melody": melody, "none": [], "one": [("m", 0, [(0, 10, 60, 60)])]}
+    frame = build(spark, files, tempo="Tempo_2", genre="jazz", source="nobody")
+    docs = sorted(map(tuple, frame.collect()), key=str)
+    assert docs == sorted(map(tuple, build(spark, files, tempo="Tempo_2", genre="jazz", source="nobody").collect()), key=str)
+    skip = {r[0]: r[4] for r in docs if r[4]}
+    assert skip == {"none": "empty", "one": "empty"}
+    kinds = {p: {r[1] for r in docs if r[0] == p} for p in files}
+    assert kinds["/raw/lakh/0.mid"] == {"continuation", "accompaniment", "infill"} and kinds["melody"] == {"continuation", "infill"} and "accompaniment" in kinds["hands"]
+    for path, kind, _, ids, reason in docs:
+        if reason:
+            continue
         assert ids[0] == V["BOS_None"] and (ids[-1] == EOS) == (kind == "continuation")
+        head = names(ids[1 : ids.index(BAR)])
+        assert head == sorted(head, key=lambda n: T.HEADER_FAMILIES.index(n.split("_")[0] + "_")) and {"Tempo_2", "Genre_jazz"} <= set(head) and not any(n.startswith("Source") for n in head)
         if kind == "accompaniment":
             at = ids.index(SEP)
             assert ids[:at].count(BAR) == ids[at:].count(BAR) == 16 and ids[1] == V["Task_accomp"]
         if kind == "infill":
-            assert ids.count(V["MASK_None"]) == 1 and ids.count(SEP) == 1
-    hands = [(0, sorted(line(40, 50, 60, 1920, 1900) + line(60, 80, 400, 240, 100)))]
-    assert any(k == "accompaniment" for k, _ in D.documents_of("/x", hands, [], 480, D.instrument_header))
-    melody = [(0, line(40, 80, 500, 240, 200))]
-    assert not any(k == "accompaniment" for k, _ in D.documents_of("/x", melody, [], 480, D.instrument_header))
-    assert D.documents_of("/x", [], [], 480, D.instrument_header) == "empty" and D.documents_of("/x", melody, [(0, 11, 16)], 480, D.instrument_header) == "timesig"
+            assert ids.count(V["MASK_None"]) == 1 and ids.count(SEP) == 1 and ids[1] == V["Task_infill"] and ids.count(BAR) == 16
+    whole = [r for r in docs if r[0] == "melody" and r[1] == "continuation"]
+    assert len(whole) == 1 and T.decode(whole[0][3]) and len(T.decode(whole[0][3])) == 500
+    assert {tuple(r) for r in build(spark, {"melody": melody}, [(0, 11, 16)]).select("skip").collect()} == {("timesig",)}
+    assert build(spark, {"melody": melody}, error="parse error").first().skip == "parse error"
+
+
+def test_drums_of_documents_are_normalised(spark):
+    kit = [(i * 240, 60, (36, 38, 42)[i % 3], 90) for i in range(90)]
+    got = build(spark, {"x": [("Drums", 0, kit), ("lead", 5, [(i * 240, 200, 70, 80) for i in range(90)])]}).filter("kind = 'continuation'").collect()
+    assert len(got) == 3 and all(V["Inst_Drums"] in r.ids or V["Inst_Piano"] in r.ids for r in got) and sum(V["Program_-1"] in r.ids for r in got) == 2
+    assert not any(V["Pitch_36"] in r.ids for r in got)
+
+
+def test_slow_records_are_given_up(spark):
+    import time
+
+    from partita.functions.guard import within
+
+    assert within(0.2, time.sleep, 5) == (None, True) and within(5, len, "abc") == (3, False) and within(0, len, "abc") == (3, False)
+    with pytest.raises(KeyError):
+        within(1, lambda: {}["x"])
+    notes = [(i, 1, 60, 60) for i in range(30_000)]
+    rows = [("x", "m", 0, False, i, *n) for i, n in enumerate(notes)]
+    heads = spark.createDataFrame([("x", 480, [(0, 4, 4)])], "path string, tpq int, meters array<struct<time:long,num:int,den:int>>")
+    assert D.build(D.scores_of(spark.createDataFrame(rows, NOTE_ROW), heads), seconds=0.001).collect()[0].skip == "timeout"
+
+
+def test_bar_lines_by_hand(spark):
+    m = "array<struct<time:long,num:int,den:int>>"
+    df = spark.createDataFrame([([(0, 4, 4), (2000, 3, 4), (2100, 2, 4)], 5000), ([], 1920), ([(0, 3, 4)], 0), ([(9000, 3, 4)], 100)], f"meters {m}, end long")
+    assert [r[0] for r in df.select(D.bar_starts(F.col("meters"), F.col("end"), F.lit(480))).collect()] == [[0, 1920, 3840, 4800, 5760], [0, 1920, 3840], [0, 1440], [0, 1920]]
+    assert [r[0] for r in df.select(D.bar_bounds(F.col("meters"), F.col("end"), F.lit(480))).collect()] == [[0, 1920, 3840, 4800, 5000], [0, 1920], [0], [0, 100]]
 
 
 def test_seeded_sampler():

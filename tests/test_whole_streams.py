@@ -23,20 +23,20 @@ def same_as_sql(spark, d, name):
 
 
 def test_layouts_hold_every_token(spark, long_file):
-    same_as_sql(spark, long_file, "doc_layouts_whole")
+    same_as_sql(spark, long_file, "doc_layouts")
     n = {r.file_id: r.body for r in registry.QUERIES["split_header"](spark, long_file).collect()}
-    got = registry.QUERIES["doc_layouts_whole"](spark, long_file).collect()
+    got = registry.QUERIES["doc_layouts"](spark, long_file).collect()
     assert len(got) == len(n)
     for r in got:
         assert [len(x.split()) - n[r.file_id] for x in (r.continuation, r.accompaniment, r.infill)] == [4, 6, 6]
 
 
 def test_every_note_is_rendered(spark, long_file):
-    same_as_sql(spark, long_file, "pitch_render_whole")
+    same_as_sql(spark, long_file, "pitch_render")
     from partita.plans.notes import _n
 
     notes = _n(spark, long_file)
-    got = registry.QUERIES["pitch_render_whole"](spark, long_file)
+    got = registry.QUERIES["pitch_render"](spark, long_file)
     lines = got.filter("line <> '(missing)'").select(F.explode(F.split("line", " ")).alias("t"))
     assert lines.count() == notes.count()
     assert lines.filter(r"t rlike '^[0-9.]+:(Kick|Rim|Snare|Clap|Tom|Hat|Crash|Ride|Bell|Splash|Perc)'").count() == notes.filter("is_drum").count() > 0
