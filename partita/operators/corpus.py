@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.operators.components import connected_components, salted_join
-from partita.operators.positions import at_share, group_quantiles, ranked
+from partita.operators.positions import ranked
 from partita.tables import stash, with_totals
 
 
@@ -67,14 +67,24 @@ def guard(manifest: DataFrame, held_out: DataFrame, key: str = "stem") -> None:
 def group_summary(df: DataFrame, by: str) -> DataFrame:
     """Files, notes, medians, and the duration at index int(0.95 n) of the sorted durations, for each group.
 
-    Medians and the rank are exact positions in a distributed order, so no group has to fit into one task.
+    All columns' values are counted and ranked at once, over one range partition of (group, column, value), so no
+    group has to fit into one task.
     """
-    df = stash(df.select(by, "n_notes", "duration_seconds", "n_tracks"), "sizes")
+    cols = ("n_notes", "duration_seconds", "n_tracks")
+    df = stash(df.select(by, *cols), "sizes")
     out = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_notes").alias("total_notes"))
-    for c, name in (("n_notes", "median_notes"), ("duration_seconds", "median_duration_s"), ("n_tracks", "median_tracks")):
-        m = group_quantiles(df, [by], c, [0.5])
-        out = out.join(m.select(by, (F.round("q0", 1) if c == "duration_seconds" else F.floor("q0")).alias(name)), by, "left")
-    return out.join(at_share(df, [by], "duration_seconds", 0.95).select(by, F.round("duration_seconds", 1).alias("p95_duration_s")), by, "left")
+    v = df.select(by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols))).alias("v")).select(by, "v.*")
+    v = v.filter("value is not null").filter(F.col(by).isNotNull()).groupBy(by, "column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    r = ranked(v, [by, "column"], [F.col("value")], weight="_c")
+    r = r.join(r.groupBy(by, "column").agg(F.sum("_c").alias("_n")), [by, "column"])
+    at = lambda c, k: F.max(F.when((F.col("column") == c) & (F.col("start") <= k) & (k < F.col("start") + F.col("_c")), F.col("value")))
+    half = (F.col("_n") - 1) / F.lit(2.0)
+    middle = lambda c: (at(c, F.floor(half)) + at(c, F.ceil(half))) / 2
+    got = r.groupBy(by).agg(
+        F.floor(middle("n_notes")).alias("median_notes"), F.round(middle("duration_seconds"), 1).alias("median_duration_s"), F.floor(middle("n_tracks")).alias("median_tracks"),
+        F.round(at("duration_seconds", F.floor(F.col("_n") * F.lit(0.95))), 1).alias("p95_duration_s"),
+    )
+    return out.join(got, by, "left")
 
 
 # ---- samples: hash order stands for a seeded shuffle ----
@@ -169,33 +179,55 @@ def shingled(df: DataFrame, key: str, pitches: str, n: int = NGRAM) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            keep, out = [], []
-            for i in range(rb.num_rows):
-                v = rb.column(1)[i].values
-                x = np.asarray(v.drop_null(), dtype=np.int64) if v is not None else []
-                if len(x) > n:
-                    keep.append(i)
-                    out.append(np.unique((np.lib.stride_tricks.sliding_window_view(np.diff(x) + 128, n) * power).sum(1)))
-            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.list_(pa.int64()))], names=[key, "sh"])
+            col = rb.column(1)
+            row = np.repeat(np.arange(rb.num_rows), np.asarray(col.value_lengths().fill_null(0)))
+            values = col.flatten()
+            there = np.asarray(values.is_valid())
+            row, x = row[there], np.asarray(values.fill_null(0)).astype(np.int64)[there]
+            size = np.bincount(row, minlength=rb.num_rows)
+            code, at = np.zeros(max(0, len(x) - n), dtype=np.int64), row[: max(0, len(x) - n)]
+            for i, p in enumerate(power):
+                code += (x[i + 1 : i + 1 + len(code)] - x[i : i + len(code)] + 128) * p
+            inside = np.arange(len(code)) + n < np.cumsum(size)[at]
+            at, code = at[inside], code[inside]
+            order = np.lexsort((code, at))
+            at, code = at[order], code[order]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
+            at, code = at[new], code[new]
+            keep = np.flatnonzero(size > n)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=rb.num_rows)[keep])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(keep)), pa.ListArray.from_arrays(pa.array(ends), pa.array(code))], names=[key, "sh"])
 
     return df.select(key, pitches).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, sh array<bigint>")
 
 
+#: Shingles hashed at a time, so that a batch's work stays in the processor's cache.
+AT_ONCE = 50_000
+
+
 def minhash(df: DataFrame, key: str, sh: str) -> DataFrame:
-    """(key, sig): HASHES minima of (a x + b mod 2^64) mod 2^61 - 1, with unsigned wrap-around, in Arrow batches."""
+    """(key, sig): HASHES minima of (a x + b mod 2^64) mod 2^61 - 1, with unsigned wrap-around, over whole Arrow batches."""
     a, b = hash_family()
+    m, bits = np.uint64(MERSENNE), np.uint64(61)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            sigs = []
-            for i in range(rb.num_rows):
-                x = np.asarray(rb.column(1)[i].values).view(np.uint64)
+            sizes = np.asarray(rb.column(1).value_lengths()).astype(np.int64)
+            ends, x = np.concatenate([[0], np.cumsum(sizes)]), rb.column(1).flatten().to_numpy().view(np.uint64)
+            sig, lo = np.empty((rb.num_rows, HASHES), dtype=np.uint64), 0
+            while lo < rb.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + AT_ONCE, "right")) - 1)
+                part, begins = x[ends[lo] : ends[hi]], ends[lo:hi] - ends[lo]
                 with np.errstate(over="ignore"):
-                    h = a[:, None] * x[None, :] + b[:, None]
-                    h = (h & np.uint64(MERSENNE)) + (h >> np.uint64(61))  # the remainder, or MERSENNE above it
-                    h -= np.where(h >= np.uint64(MERSENNE), np.uint64(MERSENNE), np.uint64(0))
-                    sigs.append(h.min(1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(sigs, pa.list_(pa.int64()))], names=[key, "sig"])
+                    for k in range(HASHES):
+                        h = part * a[k] + b[k]
+                        h = (h & m) + (h >> bits)  # the remainder, or up to 7 above it
+                        h = np.where(h >= m, h - m, h)
+                        sig[lo:hi, k] = np.minimum.reduceat(h, begins)
+                lo = hi
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int64).ravel()), HASHES).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rb.column(0), flat], names=[key, "sig"])
 
     return df.filter(F.size(sh) > 0).select(key, sh).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, sig array<bigint>")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.operators.positions import group_quantiles
+from partita.operators.positions import group_quantiles, ranked
 from partita.tables import stash
 
 
@@ -80,20 +80,22 @@ def aggregate_ratings(records: DataFrame) -> DataFrame:
     return r.join(last, "excerpt_id").filter("_from is null or ord >= _from").groupBy("excerpt_id").agg(F.avg("rating").alias("rating"), F.count(F.lit(1)).alias("n"))
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Adds the average rank of value within `by`. Values are counted before they are ranked, so a window holds one row for each distinct value."""
-    c = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn(out, F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / F.lit(2.0)).drop("_c")
-    return df.join(c, [*by, value])
+def average_ranks(df: DataFrame, value: str, by: list[str], out: str, number: str | None = None) -> DataFrame:
+    """Adds the average rank of value within `by`; a row counts `number` times. Values are counted before they are ranked, over a range partition of all of them, so that a group of any size is spread over many tasks."""
+    n = F.sum(number) if number else F.count(F.lit(1))
+    c = ranked(df.groupBy(*by, value).agg(n.alias("_c")), by, [F.col(value)], weight="_c")
+    return df.join(c.select(*by, value, (F.col("start") + (F.col("_c") + 1) / F.lit(2.0)).alias(out)), [*by, value])
 
 
-def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """by, n, rho: Pearson correlation of average ranks; NaN for constants or under two rows."""
-    x = average_ranks(average_ranks(df, a, by, "_ra"), b, by, "_rb")
-    flat = (F.var_pop("_ra") > 0) & (F.var_pop("_rb") > 0)
-    cov = F.covar_pop("_ra", "_rb")
-    return x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(flat, F.try_divide(cov, F.stddev_pop("_ra") * F.stddev_pop("_rb"))).otherwise(F.lit(float("nan"))).alias("rho"))
+def spearman(df: DataFrame, a: str, b: str, by: list[str], number: str | None = None) -> DataFrame:
+    """by, n, rho: Pearson correlation of average ranks; NaN for constants or under two rows. A row counts `number` times."""
+    x = average_ranks(average_ranks(df, a, by, "_ra", number), b, by, "_rb", number).withColumn("_w", F.col(number) if number else F.lit(1))
+    mean = lambda p: F.sum(F.col("_w") * p) / F.sum("_w")
+    middle = (F.sum("_w") + 1) / F.lit(2.0)  # the mean of average ranks
+    less = lambda p, q: mean(F.col(p) * F.col(q)) - middle * middle
+    va, vb = less("_ra", "_ra"), less("_rb", "_rb")
+    rho = F.when((va > 1e-6) & (vb > 1e-6), less("_ra", "_rb") / F.sqrt(F.greatest(va * vb, F.lit(1e-300)))).otherwise(F.lit(float("nan")))
+    return x.groupBy(*by).agg(F.sum("_w").cast("long").alias("n"), rho.alias("rho"))
 
 
 def group_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
@@ -180,18 +182,21 @@ def grouped_cv(df: DataFrame, cols: list[str], y: str, group: str, alphas: list[
     x = df.withColumn("fold", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(k)).cast("int"))
     parts = {r["fold"]: r.asDict() for r in gram(x, cols, y, "fold").collect()}
     keys = [c for c in next(iter(parts.values())) if c != "fold"] if parts else []
-    spark, preds = df.sparkSession, None
-    for a in alphas:
+    if not parts:
+        return df.sparkSession.createDataFrame([], "alpha double, n long, rho double, mae double")
+
+    def predicted(a: float) -> Column:
         p = F.lit(None).cast("double")
         for f in parts:
             row = {c: sum(parts[g][c] for g in parts if g != f) for c in keys}
             p = F.when(F.col("fold") == f, Ridge.from_sums(row, cols, a).predict()).otherwise(p)
-        one = x.select(F.lit(float(a)).alias("alpha"), F.col(y).alias("y"), p.alias("pred"))
-        preds = one if preds is None else preds.unionByName(one)
-    if preds is None:
-        return spark.createDataFrame([], "alpha double, n long, rho double, mae double")
-    mae = preds.groupBy("alpha").agg(F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"))
-    return spearman(preds, "y", "pred", ["alpha"]).join(mae, "alpha")
+        return p
+
+    every = F.array(*(F.struct(F.lit(float(a)).alias("alpha"), predicted(a).alias("pred")) for a in alphas))
+    preds = x.select(F.col(y).alias("y"), F.explode(every).alias("p")).groupBy("p.alpha", "y", "p.pred").agg(F.count(F.lit(1)).alias("_n"))
+    preds = stash(preds, "predictions")  # equal ones once, with their number
+    mae = preds.groupBy("alpha").agg((F.sum(F.abs(F.col("y") - F.col("pred")) * F.col("_n")) / F.sum("_n")).alias("mae"))
+    return spearman(preds, "y", "pred", ["alpha"], "_n").join(mae, "alpha")
 
 
 def fit_bt(diffs: np.ndarray, l2: float = 1.0, w: np.ndarray | None = None) -> np.ndarray:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from partita.functions import notes as N
 from partita.operators import corpus as C
 from partita.plans.notes import NOTES, _n
-from partita.operators.positions import group_quantiles
+from partita.operators.positions import group_quantiles, ranked
 from partita.tables import clean_source, clean_source_sql, table, with_totals
 
 SRC = clean_source_sql()
@@ -124,9 +123,9 @@ def score_summary(s, d):
 def extremes(s, d):
     """The ten best and ten worst files of each source by score, with their ranks."""
     q = table(s, d, "quality_scores").filter("quality is not null and not isnan(quality)").groupBy("path").agg(F.max("quality").alias("quality"), F.min(clean_source(F.col("source"), F.col("path"))).alias("source"))
-    w = Window.partitionBy("source")
-    x = q.withColumn("best", F.row_number().over(w.orderBy(F.desc("quality"), "path"))).withColumn("worst", F.row_number().over(w.orderBy("quality", F.desc("path"))))
-    return x.filter("best <= 10 or worst <= 10").select("source", "path", F.when(F.col("best") <= 10, "best").otherwise("worst").alias("label"), "best")
+    x = ranked(q.filter("source is not null"), ["source"], [F.desc("quality"), F.col("path")])
+    x = x.join(x.groupBy("source").agg(F.max("pos").alias("n")), "source").withColumn("best", F.col("pos").cast("int"))
+    return x.filter("pos <= 10 or pos > n - 10").select("source", "path", F.when(F.col("best") <= 10, "best").otherwise("worst").alias("label"), "best")
 
 
 def shard_plan(s, d):
