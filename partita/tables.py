@@ -73,7 +73,8 @@ def clean_source_sql(source: str = "source", path: str = "path") -> str:
 
 
 def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
-    """df with one-row aggregates of itself as constant columns; one job, no join."""
-    row = df.agg(*(c.alias(k) for k, c in totals.items())).first()
-    kinds = dict(df.agg(*(c.alias(k) for k, c in totals.items())).dtypes)
+    """df with one-row aggregates of itself as constant columns; no join. df is written first, so it is worked out once."""
+    df = stash(df, "totals")
+    sums = df.agg(*(c.alias(k) for k, c in totals.items()))
+    row, kinds = sums.first(), dict(sums.dtypes)
     return df.withColumns({k: F.lit(row[k]).cast(kinds[k]) for k in totals})
