@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from partita.llm import bpe, cutoff, mix, neardup, packing, ranking, reading, splits
+from partita.plans.corpus import _sha
 from partita.tables import clean_source_sql
 
 QUERIES = {
@@ -32,6 +33,14 @@ w AS (SELECT path, source, quality, q_bucket, keep_fraction, count(*) OVER (PART
 c AS (SELECT source, keep_fraction, n, max(quality) AS cutoff FROM w WHERE above >= keep_fraction * n GROUP BY ALL),
 kept AS (SELECT w.* FROM w JOIN c USING (source) WHERE quality >= cutoff)"""
 
+_PIECES = r"""WITH RECURSIVE m AS (SELECT pair_id, unnest([prompt_path, part_path]) AS path FROM pair_meta WHERE pair_id <> ''),
+      e AS (SELECT DISTINCT pair_id, CASE WHEN regexp_extract(lower(path), '/raw/([^/]+)/', 1) <> '' THEN regexp_extract(lower(path), '/raw/([^/]+)/', 1) || '/' || regexp_extract(regexp_extract(lower(path), '([^/]*)$', 1), '^([\p{L}\p{N}]*)', 1) ELSE '=' || lower(path) END AS piece
+            FROM m WHERE path IS NOT NULL),
+      star AS (SELECT pair_id, min(pair_id) OVER (PARTITION BY piece) AS low FROM e),
+      link AS (SELECT pair_id AS a, low AS b FROM star UNION SELECT low, pair_id FROM star),
+      reach AS (SELECT a, a AS b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+      voted AS (SELECT DISTINCT pair_id FROM labels WHERE pair_id <> '')"""
+
 ORACLE = {
     "p1_found": f"""WITH {_FILES},
       long AS (SELECT source, 'n_notes' AS size_unit, n_notes AS size FROM files UNION ALL SELECT source, 'duration_seconds', duration_seconds FROM files),
@@ -41,15 +50,13 @@ ORACLE = {
     "p2_found": f"WITH {_SCORED} SELECT path FROM kept",
     "p2_cutoffs": f"WITH {_SCORED} SELECT source, keep_fraction, n, cutoff, (SELECT count(*) FROM kept WHERE kept.source = c.source) AS kept FROM c",
     "p2_buckets": f"WITH {_SCORED} SELECT source, q_bucket, count(*) AS kept FROM kept GROUP BY 1, 2",
-    "p4_found": r"""WITH RECURSIVE m AS (SELECT pair_id, unnest([prompt_path, part_path]) AS path FROM pair_meta WHERE pair_id <> ''),
-      e AS (SELECT DISTINCT pair_id, regexp_extract(lower(path), '/raw/([^/]+)/', 1) || '/' || regexp_extract(regexp_extract(lower(path), '([^/]*)$', 1), '^([\p{L}\p{N}]*)', 1) AS piece
-            FROM m WHERE path IS NOT NULL AND regexp_extract(lower(path), '/raw/([^/]+)/', 1) <> ''),
-      star AS (SELECT pair_id, min(pair_id) OVER (PARTITION BY piece) AS low FROM e),
-      link AS (SELECT pair_id AS a, low AS b FROM star UNION SELECT low, pair_id FROM star),
-      reach AS (SELECT a, a AS b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
-      voted AS (SELECT DISTINCT pair_id FROM labels WHERE pair_id <> '')
+    "p4_found": f"""{_PIECES}
       SELECT a AS pair_id, min(b) AS first_pair_id FROM reach WHERE a IN (SELECT pair_id FROM voted) AND b IN (SELECT pair_id FROM voted)
       GROUP BY a HAVING count(DISTINCT b) > 1""",
+    "p4_splits": f"""{_PIECES}, co AS (SELECT a AS pair_id, min(b) AS component FROM reach GROUP BY a),
+      x AS (SELECT 'pair' AS kind, pair_id AS id, coalesce(component, pair_id) AS component FROM voted LEFT JOIN co USING (pair_id)
+        UNION ALL SELECT 'file', path, min(component) FROM m JOIN co USING (pair_id) WHERE path IS NOT NULL GROUP BY path)
+      SELECT kind, id, component, CASE WHEN u < 0.9 THEN 'train' WHEN u < 0.9 + 0.05 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, {_sha("component || ':7'")} / 1e6::DOUBLE AS u FROM x)""",
     "p6_found": """WITH f AS (SELECT path, pitches FROM (SELECT path, list_filter(pitches, lambda p: p IS NOT NULL) AS pitches FROM file_notes WHERE path IS NOT NULL) WHERE len(pitches) > 6),
       s AS (SELECT path, list_transform(range(1, len(pitches)), lambda i: pitches[i + 1] - pitches[i]) AS s FROM f),
       g AS (SELECT DISTINCT path, unnest(list_transform(range(1, len(s) - 4), lambda i: s[i:i + 5])) AS r FROM s),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partita.operators.components import connected_components, salted_join
+from partita.operators.corpus import sha1_mod
 from partita.tables import stash, table
 
 SPLITS = (("train", 0.9), ("validation", 0.05), ("test", 0.05))
@@ -19,9 +20,9 @@ def piece(path):
 
 
 def memberships(meta: DataFrame) -> DataFrame:
-    """record (pair_id), path, entity (the path's piece), for all paths of a pair's rows. Null and empty pairs, and null paths, are left out."""
+    """record (pair_id), path, entity (the path's piece), for all paths of a pair's rows. A path outside /raw/ is an entity of its own, whatever its case. Null and empty pairs, and null paths, are left out."""
     rows = meta.filter("pair_id <> ''").select(F.col("pair_id").alias("record"), F.explode(F.array("prompt_path", "part_path")).alias("path")).filter("path is not null")
-    return rows.distinct().withColumn("entity", piece(F.col("path")))
+    return rows.distinct().withColumn("entity", F.coalesce(piece(F.col("path")), F.concat(F.lit("="), F.lower("path"))))
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def groups(links: DataFrame) -> DataFrame:
 
 def assign(component, splits=SPLITS, seed: int = 7):
     """The split of a component: its hash, uniform in [0, 1), falls into one of the ranges of the given proportions."""
-    u = F.pmod(F.xxhash64(component, F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
+    u = sha1_mod(F.concat_ws(":", component, F.lit(str(seed)))) / F.lit(1e6)
     total, at, out = sum(p for _, p in splits), 0.0, F.lit(splits[-1][0])
     cuts = []
     for name, p in splits:

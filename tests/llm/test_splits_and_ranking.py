@@ -38,6 +38,13 @@ def test_groups_against_union_find(spark):
     assert splits.groups(spark.createDataFrame([], "record string, entity string")).count() == 0
 
 
+def test_paths_outside_the_corpus_link_as_well(spark):
+    """Pairs that share a path without a piece go together, so its file and they are on one side."""
+    rows = [("p1", "/tmp/A.mid", None), ("p2", "/tmp/a.mid", "/raw/lakh/x_1.mid"), ("p3", None, "/raw/lakh/x_2.mid"), ("p4", "/tmp/b.mid", None), ("", "/tmp/b.mid", None), (None, "/tmp/b.mid", None), ("p5", None, None)]
+    m = splits.memberships(spark.createDataFrame(rows, "pair_id string, prompt_path string, part_path string"))
+    assert dict(splits.groups(m).collect()) == {"p1": "p1", "p2": "p1", "p3": "p1", "p4": "p4"}
+
+
 def test_assign_proportions(spark):
     n = {r.s: r.c for r in spark.range(20_000).select(splits.assign(F.col("id").cast("string")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).collect()}
     assert abs(n["train"] - 18_000) < 300 and abs(n["validation"] - 1000) < 150 and sum(n.values()) == 20_000
