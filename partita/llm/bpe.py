@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -26,16 +27,16 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 VOCABULARY = os.environ.get("PARTITA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Pieces whose ids a worker remembers; beyond that it forgets all.
 REMEMBER = 200_000
+MOST_BYTES = 64 << 20  # of a vocabulary file
 
 
 class Encoder:
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, vocabulary: bytes):
         ranks = {}
-        with open(path, "rb") as f:
-            for line in f:
-                if line.strip():
-                    token, rank = line.split()
-                    ranks[base64.b64decode(token)] = int(rank)
+        for line in vocabulary.splitlines():
+            if line.strip():
+                token, rank = line.split()
+                ranks[base64.b64decode(token)] = int(rank)
         self.ranks, self.pattern = ranks, regex.compile(PATTERN)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -144,8 +145,31 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str = VOCABULARY) -> Encoder:
-    """One encoder for each Python worker."""
-    return Encoder(path)
+    """An encoder for use on the driver."""
+    with open(path, "rb") as f:
+        return Encoder(f.read())
+
+
+_HERE: dict[bytes, Encoder] = {}
+
+
+def _here(key: bytes, sent) -> Encoder:
+    """The encoder of this Python worker, made once for all of its tasks."""
+    if key not in _HERE:
+        _HERE.clear()
+        _HERE[key] = Encoder(sent.value)
+    return _HERE[key]
+
+
+def shipped(spark: SparkSession, path: str = VOCABULARY):
+    """A function that gives a task its worker's encoder. The driver reads the vocabulary, or fails at once, and sends its bytes along; executors need no file."""
+    with open(path, "rb") as f:
+        data = f.read(MOST_BYTES + 1)
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"a vocabulary of over {MOST_BYTES} bytes")
+    sent, key = spark.sparkContext.broadcast(data), hashlib.md5(data).digest()
+
+    return lambda: _here(key, sent)
 
 
 def texts_of(column: pa.Array) -> list[str | None]:
@@ -160,8 +184,10 @@ def encoded(docs: DataFrame, id_: str = "doc_id", text: str = "text", path: str
     """(id, ids): the ids of every row's text; null and empty texts have an empty list, repeated rows stay. No shuffle."""
     schema = f"`{id_}` {docs.schema[id_].dataType.simpleString()}, ids array<int>"
 
+    get = shipped(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = get()
         for b in batches:
             texts = texts_of(b.column(1))
             for lo in range(0, len(texts), 512):
@@ -177,8 +203,10 @@ def sized(docs: DataFrame, id_: str = "doc_id", text: str = "text", path: str =
     """(id, tokens): the number of ids of every row's text, without sending the ids anywhere."""
     schema = f"`{id_}` {docs.schema[id_].dataType.simpleString()}, tokens long"
 
+    get = shipped(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = get()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(enc.encode(t)) for t in texts_of(b.column(1))], pa.int64())], names=[id_, "tokens"])
 

@@ -123,8 +123,8 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that were cut, which only those that don't fit are."""
-    return _packed(spark, d).filter("part > 0").select(F.col("item").alias("doc_id")).distinct()
+    """Documents that lie in several containers, which only those that don't fit into one do."""
+    return _packed(spark, d).groupBy(F.col("item").alias("doc_id")).agg(F.min("container").alias("a"), F.max("container").alias("b")).filter("a <> b").select("doc_id")
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
