@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from partita.sources.files import at, listed
+
 SCORE = """path string, tpq int, tempos array<struct<time:bigint,qpm:double>>, meters array<struct<time:bigint,num:int,den:int>>, keys array<struct<time:bigint,key:int,tonality:int>>, markers array<struct<time:bigint,text:string>>,
 notes array<struct<track:int,track_name:string,program:int,is_drum:boolean,note_idx:int,start:bigint,duration:bigint,pitch:int,velocity:int>>, n_tracks int, end_tick bigint, parse_error string"""
 
@@ -224,16 +226,14 @@ class MidiDataSource(DataSource):
 
 class _MidiReader(DataSourceReader):
     def __init__(self, root: str):
-        self.root = root.removeprefix("file://")
+        self.root = root
 
     def partitions(self):
-        from pathlib import Path
-
-        return [_File(str(p)) for p in sorted(Path(self.root).rglob("*")) if p.suffix.lower() in (".mid", ".midi")] or [_File("")]
+        return [_File(f.path) for f in listed(self.root, (".mid", ".midi"))] or [_File("")]
 
     def read(self, part):
         if part.value:
-            with open(part.value, "rb") as f:
+            with at(self.root)[0].open_input_file(part.value) as f:
                 row = parse_row(part.value, f.read())
             fields = ("track", "track_name", "program", "is_drum", "note_idx", "start", "duration", "pitch", "velocity")
             pairs = {"tempos": ("time", "qpm"), "meters": ("time", "num", "den"), "keys": ("time", "key", "tonality"), "markers": ("time", "text"), "notes": fields}
