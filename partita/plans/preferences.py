@@ -141,7 +141,7 @@ COLS = ["q", "disc", "tax"]
 
 def ridge(s, d):
     m = P.fit_ridge(_features(s, d), COLS, "y", 3.0)
-    return s.createDataFrame([(n, float(c), float(mu), float(sd)) for n, c, mu, sd in zip(m.names, m.coef, m.means, m.stds)], "name string, coef double, mean double, std double")
+    return s.createDataFrame([(n, round(float(c), 8), round(float(mu), 8), round(float(sd), 8)) for n, c, mu, sd in zip(m.names, m.coef, m.means, m.stds)], "name string, coef double, mean double, std double")
 
 
 def cv(s, d):
@@ -262,4 +262,11 @@ ORACLE = {
       z AS (SELECT *, list_sum(list_transform(w, lambda x: exp(x))) AS sw, list_sum(list_transform(l, lambda x: exp(x))) AS sl FROM e)
       SELECT grp, round(avg((list_position(w0, list_max(w0)) = list_position(l0, list_max(l0)))::INT), 6) AS top1, round(avg(list_sum(list_transform(range(1, 65), lambda i: exp(w[i]) / sw * (ln(exp(w[i]) / sw) - ln(exp(l[i]) / sl))))), 6) AS kl,
         round(avg(list_avg(list_transform(range(1, 65), lambda i: exp(l[i] - w[i]) - (l[i] - w[i]) - 1))), 6) AS k3 FROM z GROUP BY 1""",
+    "ridge_fit": """WITH f AS (SELECT greatest(1, least(5, 1 + l_extendedprice / 25000))::DOUBLE AS y, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity::DOUBLE END AS q0, l_discount::DOUBLE AS b, l_tax::DOUBLE AS c FROM lineitem),
+      md AS (SELECT median(q0) AS m FROM f), x AS (SELECT y, coalesce(q0, m) AS a, b, c FROM f, md), st AS (SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM x),
+      g AS (SELECT n + 3.0::DOUBLE AS p, ma, mb, mc, sa, sb, sc, n * covar_pop(a, b) / (sa * sb) AS ab, n * covar_pop(a, c) / (sa * sc) AS ac, n * covar_pop(b, c) / (sb * sc) AS bc,
+        n * covar_pop(a, y) / sa AS ay, n * covar_pop(b, y) / sb AS by_, n * covar_pop(c, y) / sc AS cy FROM x, st GROUP BY n, ma, mb, mc, sa, sb, sc),
+      dt AS (SELECT *, p * (p * p - bc * bc) - ab * (ab * p - bc * ac) + ac * (ab * bc - p * ac) AS det FROM g)
+      SELECT unnest(['q', 'disc', 'tax']) AS name, round(unnest([(ay * (p * p - bc * bc) - ab * (by_ * p - bc * cy) + ac * (by_ * bc - p * cy)) / det, (p * (by_ * p - bc * cy) - ay * (ab * p - bc * ac) + ac * (ab * cy - by_ * ac)) / det,
+        (p * (p * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - p * ac)) / det]), 8) AS coef, round(unnest([ma, mb, mc]), 8) AS mean, round(unnest([sa, sb, sc]), 8) AS std FROM dt""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partita.plans import corpus, notes, ordered, preferences, requests, selection, streams, tokens, votes
+from partita.plans import corpus, notes, ordered, preferences, requests, selection, storage, streams, tokens, votes
 
-MODULES = (votes, corpus, notes, ordered, preferences, requests, selection, streams, tokens)
+MODULES = (votes, corpus, notes, ordered, preferences, requests, selection, storage, streams, tokens)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in MODULES:

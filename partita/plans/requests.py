@@ -219,4 +219,7 @@ ORACLE = {
     "header_steering": f"""WITH f AS (SELECT DISTINCT user_id AS file_id FROM events), x AS (SELECT file_id, unnest([(file_id + 5) % 16, 16, file_id % 16]) AS r FROM f)
       SELECT file_id, string_agg('Inst_' || {[*N.FAMILIES, N.DRUMS]}[r + 1], ' ' ORDER BY r) || ' Density_1 Tempo_3' AS header FROM (SELECT DISTINCT * FROM x) GROUP BY 1""",
     "log_partitions": "SELECT strftime(ts, '%Y-%m-%d') AS day, min(strftime(ts, '%H%M%S')) AS first, max(strftime(ts, '%H%M%S')) AS last, count(*) AS n FROM labels WHERE ts IS NOT NULL GROUP BY 1",
+    "judge_prompts": """WITH p AS (SELECT DISTINCT pair_id, mode, prompt_path, model_a, model_b FROM pair_meta), x AS (SELECT *, CASE WHEN trim(coalesce(prompt_path, '')) <> '' THEN 'M:4/4' || chr(10) || prompt_path || chr(10) || 'K:C' ELSE 'M:4/4' || chr(10) || 'K:C' END AS ctx,
+        CASE mode WHEN 'accompany' THEN 'Which accompaniment fits the given part better?' WHEN 'infill' THEN 'Which filling fits the bars around it better?' ELSE 'Which continuation is better?' END AS ask FROM p)
+      SELECT DISTINCT pair_id, mode, ctx, chars, sha1(ctx) AS digest FROM (SELECT *, length(ask || '..GIVEN:.' || ctx || '..1:.' || coalesce(model_a, '') || '..2:.' || coalesce(model_b, '') || '..Answer with JSON: {"winner": "1", "2" or "tie", "reason": "..."}')::INT AS chars FROM x)""",
 }

@@ -277,4 +277,7 @@ ORACLE = {
     "ban_ids": "SELECT i::INT AS id, i BETWEEN 391 AND 453 AS drums, i BETWEEN 71 AND 198 OR i BETWEEN 454 AND 581 AS pitched, i < 70 AS structural FROM range(598) t(i) WHERE i < 70 OR i BETWEEN 71 AND 198 OR i BETWEEN 391 AND 581",
     "training_windows": f"""WITH {NOTES}, {_T}, b AS (SELECT *, list_filter(range(len(ids)), lambda i: ids[i + 1] = {BAR} AND i <= len(ids) - 33) AS st FROM ts WHERE len(ids) > 40), c AS (SELECT *, coalesce(st[file_id % greatest(len(st), 1) + 1], 0)::INT AS a0 FROM b)
       SELECT file_id, a0 AS "at", list_filter(list_slice(ids, 1, a0), lambda t: t {_PROG})[-1] AS program, {_join('list_slice(ids, a0 + 1, a0 + 32)')} AS x, {_join('list_slice(ids, a0 + 2, a0 + 33)')} AS y FROM c""",
+    "remi_roundtrip": f"""WITH {NOTES}, x AS (SELECT file_id, floor((start // 12) * (CASE WHEN file_id % 3 = 1 THEN 16 ELSE 8 END) / {TPQ}.0::DOUBLE + 0.5)::BIGINT AS t FROM notes),
+      y AS (SELECT file_id, CASE file_id % 3 WHEN 0 THEN t // 24 + 1 WHEN 2 THEN t // 32 + 1 ELSE CASE WHEN t >= 192 THEN 4 + (t - 192) // 48 WHEN (t // 64) * 64 + round_even((t % 64) / 2, 0) * 2 >= (t // 64 + 1) * 64 THEN t // 64 + 2 ELSE t // 64 + 1 END END AS bars FROM x)
+      SELECT file_id, true AS same, max(bars)::INT AS bars, count(*)::INT AS notes FROM y GROUP BY 1""",
 }
