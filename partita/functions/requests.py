@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partita.functions import notes as N
 from partita.functions import tokens as T
+from partita.operators.corpus import sha1_mod
 from partita.tables import with_totals
 
 MOST_SPAN, CONTEXT, MOST_NOTES = 4, 16, 600
@@ -114,6 +115,13 @@ def reheaded(header: Column, body: Column, before: Column, need: int) -> Column:
     return F.slice(F.concat(x, pad), 1, need)
 
 
+def window_start(anchors: Column, n: Column, window: int, anchored: float, key: Column) -> Column:
+    """Where a training window of a shard of n tokens begins: with probability `anchored` at one of the anchors (document starts), if there are any, else at any place that leaves a window and its successor. Draws are hashes of key."""
+    u = lambda salt: sha1_mod(F.concat(F.lit(salt), key))
+    there = F.try_element_at(anchors, (u("a:") % F.greatest(F.size(anchors), F.lit(1)) + 1).cast("int"))
+    return F.when((u("c:") / F.lit(1e6) < anchored) & (F.size(anchors) > 0), there).otherwise(u("p:") % (n - window))
+
+
 def shard_weights(shards: DataFrame, mixture: dict[str, float], block: int) -> DataFrame:
     """name, prob: sampling weight by usable length, times the weight of the first key found in the name."""
     w = F.greatest(F.col("tokens") - block - 1, F.lit(0)).cast("double")

@@ -60,6 +60,34 @@ def aligned(df: DataFrame, maps: str) -> tuple[DataFrame, list[str]]:
     return df.withColumn("values", F.array(*map(value, keys)) if keys else F.array().cast("array<double>")), keys
 
 
+def choose_tracks(notes: DataFrame, requests: DataFrame) -> DataFrame:
+    """file_id, track_name, n, problem: the tracks a request means, numbered from 0 in the order of their names.
+
+    requests: file_id, kind (auto, all, list), tracks array<int>, as of requests.track_spec. auto means the track
+    with the most notes, the first of equals. A number without a track is a problem, and then nothing is chosen.
+    """
+    t = notes.groupBy("file_id", "track_name").agg(F.count(F.lit(1)).alias("n"))
+    g = t.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("track_name", "n"))).alias("all"), F.max("n").alias("most"))
+    x = g.join(requests, "file_id")
+    wrong = F.filter(F.coalesce("tracks", F.array().cast("array<int>")), lambda i: (i < 0) | (i >= F.size("all")))
+    problem = F.when((F.col("kind") == "list") & (F.size(wrong) > 0), F.concat(F.lit("no track "), wrong[0].cast("string"))).when(~F.col("kind").isin("auto", "all", "list"), F.concat(F.lit("no such choice: "), F.col("kind")))
+    chosen = F.when(F.col("kind") == "auto", F.slice(F.filter("all", lambda a: a["n"] == F.col("most")), 1, 1)).when(F.col("kind") == "all", F.col("all")).otherwise(F.filter("all", lambda a, i: F.array_contains("tracks", i)))
+    return x.withColumn("problem", problem).select("file_id", "problem", F.explode_outer(F.when(F.col("problem").isNull(), chosen)).alias("t")).select("file_id", "t.track_name", "t.n", "problem")
+
+
+def accompany_window(notes: DataFrame, condition: Column, target: Column, bar: int, bars: int = 16, least: int = 4) -> DataFrame:
+    """file_id, b0, n_condition, n_target: of the windows of `bars` bars in which both parts have at least `least` notes, one by hash. Files without any are left out.
+
+    Every note is counted for the windows that hold its bar, so no window is formed that has no note.
+    """
+    x = notes.withColumn("_bar", F.floor(F.col("start") / bar)).groupBy("file_id", "_bar").agg(F.count_if(condition).alias("c"), F.count_if(target).alias("t"))
+    last = x.groupBy("file_id").agg(F.max("_bar").alias("_last"))
+    w = x.join(last, "file_id").withColumn("b0", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_bar") - bars + 1), F.col("_bar")))).filter(F.col("b0") + bars <= F.col("_last") + 1)
+    w = w.groupBy("file_id", "b0").agg(F.sum("c").alias("n_condition"), F.sum("t").alias("n_target")).filter((F.col("n_condition") >= least) & (F.col("n_target") >= least))
+    key = F.struct(F.sha1(F.concat_ws(":", "file_id", "b0")), F.col("b0"))
+    return w.groupBy("file_id").agg(F.min_by(F.struct("b0", "n_condition", "n_target"), key).alias("w")).select("file_id", "w.*")
+
+
 def clip_key(path: Column, name: Column, start: Column, length: Column) -> Column:
     """The identity of a clip: SHA-256 of its file, name, and start and length to three decimals."""
     return F.sha2(F.concat_ws("|", path, F.coalesce(name, F.lit("")), F.format_string("%.3f", start.cast("double")), F.format_string("%.3f", length.cast("double"))), 256)

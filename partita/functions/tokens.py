@@ -140,30 +140,47 @@ def encode(notes: list[tuple[int, int, int, int, int]], meters: list[tuple[int,
 GRID = 16  # ticks of a quarter in decoded scores
 
 
+@functools.cache
+def _parts() -> list[tuple[str, str]]:
+    """Family and value of each id."""
+    return [(k, v) for k, _, v in (t.partition("_") for t in vocabulary())]
+
+
+def decode_start() -> dict:
+    """The state of a stream of which no token has come: plain values only, so that it can be stored."""
+    return {"bar": 0, "length": 4 * GRID, "at": 0, "program": 0, "beat": GRID, "first": True, "open": []}
+
+
+def decode_step(s: dict, token: int) -> tuple[int, int, int, int, int] | None:
+    """The note (program, start, duration, pitch, velocity) that a token completes, if any; moves the state on."""
+    kind, value = _parts()[token]
+    if (kind, len(s["open"])) == ("Velocity", 1):
+        s["open"].append(int(value))
+        return None
+    begun, s["open"] = s["open"], []
+    if (kind, len(begun)) == ("Duration", 2):
+        n, p, r = map(int, value.split("."))
+        return s["program"], s["at"], (n * r + p) * s["beat"] // r, begun[0], begun[1]
+    if kind == "Bar":
+        s["bar"] = 0 if s["first"] else s["bar"] + s["length"]
+        s["at"], s["first"] = s["bar"], False
+    elif kind == "TimeSig":
+        n, d = map(int, value.split("/"))
+        s["beat"] = GRID * 4 // d
+        s["length"] = s["beat"] * n
+    elif kind == "Position":
+        s["at"] = s["bar"] + int(value) * (s["beat"] // POSITIONS or 1)
+    elif kind == "Program":
+        s["program"] = int(value)
+    elif kind in ("Pitch", "PitchDrum"):
+        s["open"] = [int(value)]
+    return None
+
+
 def decode(ids: list[int]) -> list[tuple[int, int, int, int, int]]:
     """Notes (program, start, duration, pitch, velocity) on GRID ticks a quarter; header and special tokens, and notes without velocity and duration behind them, are passed over."""
-    names = [*vocabulary()]
-    out, bar_at, bar_len, at, program, beat, first = [], 0, 4 * GRID, 0, 0, GRID, True
-    for i, token in enumerate(ids):
-        kind, _, value = names[token].partition("_")
-        if kind == "Bar":
-            bar_at = 0 if first else bar_at + bar_len
-            at, first = bar_at, False
-        elif kind == "TimeSig":
-            n, d = map(int, value.split("/"))
-            beat = GRID * 4 // d
-            bar_len = beat * n
-        elif kind == "Position":
-            at = bar_at + int(value) * (beat // POSITIONS or 1)
-        elif kind == "Program":
-            program = int(value)
-        elif kind in ("Pitch", "PitchDrum") and i + 2 < len(ids):
-            a, _, velocity = names[ids[i + 1]].partition("_")
-            b, _, length = names[ids[i + 2]].partition("_")
-            if a == "Velocity" and b == "Duration":
-                n, p, r = map(int, length.split("."))
-                out.append((program, at, (n * r + p) * beat // r, int(value), int(velocity)))
-    return out
+    s = decode_start()
+    return [n for t in ids if (n := decode_step(s, t))]
 
 
 def encode_files(scores: DataFrame) -> DataFrame:

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from partita.tables import stash, unstash
 
-#: A key with more than 1/HEAVY of all rows is salted, so there are fewer than HEAVY such keys.
-HEAVY, SALTS = 256, 32
+#: A key with more than 1/HEAVY of all rows is salted, so there are fewer than HEAVY such keys. It is split SALTS ways, or as many as leave SALT_ROWS rows each.
+HEAVY, SALTS, SALT_ROWS = 256, 32, 1_000_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, other: str, total: int) -> DataFrame:
     """big joined with small on key. small has one row for each key and `deg`, the key's rows in big.
 
     Keys with over 1/HEAVY of the rows (fewer than HEAVY of them, so their list is broadcast) are split by the
-    hash of `other` over SALTS partitions.
+    hash of `other`, the more ways the more rows they have.
     """
-    heavy = small.filter(F.col("deg") > max(total // HEAVY, 10_000)).select(key).withColumn("_heavy", F.lit(True))
-    b = big.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.hash(other), F.lit(SALTS))).otherwise(0))
-    copies = F.when(F.col("deg") > max(total // HEAVY, 10_000), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    s = small.withColumn("_salt", F.explode(copies)).drop("deg")
-    return b.join(s, [key, "_salt"]).drop("_salt", "_heavy")
+    hot = F.col("deg") > max(total // HEAVY, 10_000)
+    ways = F.greatest(F.lit(SALTS), F.ceil(F.col("deg") / SALT_ROWS)).cast("int")
+    heavy = small.filter(hot).select(key, ways.alias("_ways"))
+    b = big.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.when(F.col("_ways").isNotNull(), F.pmod(F.hash(other), F.col("_ways"))).otherwise(0))
+    s = small.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), ways - 1)).otherwise(F.array(F.lit(0))))).drop("deg")
+    return b.join(s, [key, "_salt"]).drop("_salt", "_ways")
 
 
 def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:

@@ -74,11 +74,25 @@ def shard_probs(s, d):
     return _r(Q.shard_weights(p, {"aria": 0.5, "train_l": 2.0, "val": 0.0}, 2048), 9)
 
 
+WINDOW, ANCHORED, DRAWS = 2048, 0.5, 8
+
+
+def _shards(s, d):
+    """Shards of a window or more: their tokens, and the starts of documents from which a whole window fits."""
+    p = PC.shard_plan(s, d).groupBy("split", "source", "shard").agg(F.array_sort(F.collect_list(F.when(F.col("first") == 0, F.col("offset")))).alias("starts"), F.max(F.col("offset") + F.col("take")).alias("n"))
+    return p.withColumn("fit", F.filter("starts", lambda o: o <= F.col("n") - WINDOW - 1))
+
+
 def anchors(s, d):
-    """Window starts: for half of the documents (by hash) their own first token, else a hashed token, where a whole window fits."""
-    p = PC.shard_plan(s, d).filter("first = 0").groupBy("split", "source", "shard").agg(F.collect_list("offset").alias("starts"), F.max(F.col("offset") + F.col("take")).alias("n"))
-    x = p.withColumn("fit", F.filter("starts", lambda o: o <= F.col("n") - 2049))
-    return x.select("split", "source", "shard", F.size("starts").alias("docs"), F.size("fit").alias("anchors"))
+    """Documents that begin in each shard, and how many of them can begin a window."""
+    return _shards(s, d).filter("size(starts) > 0").select("split", "source", "shard", F.size("starts").alias("docs"), F.size("fit").alias("anchors"))
+
+
+def window_starts(s, d):
+    """Eight windows a shard: with a probability of a half one begins at a document's start, else anywhere."""
+    x = _shards(s, d).filter(F.col("n") > WINDOW).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))
+    at = Q.window_start(F.col("fit"), F.col("n"), WINDOW, ANCHORED, F.concat_ws("_", "split", "source", "shard", "k"))
+    return x.select("split", "source", "shard", "k", at.alias("start"), F.array_contains("starts", at).alias("anchored"))
 
 
 def build_summary(s, d):
@@ -169,7 +183,7 @@ def gbt(s, d):
 
 QUERIES = {
     "degeneracy": lambda s, d: _r(Q.degeneracy(_n(s, d).withColumn("pitch", F.when(F.col("file_id") % 4 == 0, F.lit(60).cast("long")).otherwise(F.col("pitch") % 5)))), "velocity_scale": loudness, "span_requests": spans, "path_text_rules": text_rules, "track_spec": specs, "weight_spec": weights,
-    "judge_prompts": prompt_texts, "prompt_cuts": prompts_cut, "fragment_rule": fragments, "shard_sampling_weights": shard_probs, "doc_start_anchors": anchors, "build_summary": build_summary, "cluster_dump": cluster_dump, "cluster_dump_whole": cluster_dump_whole, "flag_whitelist": flags, "untagged_counts": languages,
+    "judge_prompts": prompt_texts, "prompt_cuts": prompts_cut, "fragment_rule": fragments, "shard_sampling_weights": shard_probs, "doc_start_anchors": anchors, "window_starts": window_starts, "build_summary": build_summary, "cluster_dump": cluster_dump, "cluster_dump_whole": cluster_dump_whole, "flag_whitelist": flags, "untagged_counts": languages,
     "densest_track": lambda s, d: Q.densest_track(_n(s, d)), "piece_analysis": lambda s, d: _r(Q.piece_analysis(_n(s, d), TPQ, 120.0)), "note_roll": lambda s, d: Q.note_roll(_n(s, d), SPT, 60.0), "repair_counts": repaired, "source_order": source_order, "gbt_report": gbt, "sampled_spans": sampled_spans, "infill_report": infill, "scorecard_compare": cards, "header_steering": steered,
     "log_partitions": lambda s, d: table(s, d, "labels").filter("ts is not null").select(*(c.alias(a) for c, a in zip(Q.log_partition(F.col("ts")), ("day", "time")))).groupBy("day").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.count(F.lit(1)).alias("n")),
 }
@@ -222,4 +236,8 @@ ORACLE = {
     "judge_prompts": """WITH p AS (SELECT DISTINCT pair_id, mode, prompt_path, model_a, model_b FROM pair_meta), x AS (SELECT *, CASE WHEN trim(coalesce(prompt_path, '')) <> '' THEN 'M:4/4' || chr(10) || prompt_path || chr(10) || 'K:C' ELSE 'M:4/4' || chr(10) || 'K:C' END AS ctx,
         CASE mode WHEN 'accompany' THEN 'Which accompaniment fits the given part better?' WHEN 'infill' THEN 'Which filling fits the bars around it better?' ELSE 'Which continuation is better?' END AS ask FROM p)
       SELECT DISTINCT pair_id, mode, ctx, chars, sha1(ctx) AS digest FROM (SELECT *, length(ask || '..GIVEN:.' || ctx || '..1:.' || coalesce(model_a, '') || '..2:.' || coalesce(model_b, '') || '..Answer with JSON: {"winner": "1", "2" or "tie", "reason": "..."}')::INT AS chars FROM x)""",
+    "window_starts": f"""WITH {PC._M}, {PC._OK}, {PC._SHARD}, x AS (SELECT split, source, shard, max("offset" + take) AS n, list_sort(list("offset") FILTER ("first" = 0)) AS o FROM sp GROUP BY ALL),
+      y AS (SELECT *, coalesce(list_filter(o, lambda z: z <= n - {WINDOW + 1}), []) AS fit, unnest(range({DRAWS}))::INT AS k FROM x WHERE n > {WINDOW}), z AS (SELECT *, split || '_' || source || '_' || shard || '_' || k AS key FROM y),
+      w AS (SELECT *, CASE WHEN {PC._sha("'c:' || key")} / 1e6::DOUBLE < {ANCHORED} AND len(fit) > 0 THEN fit[{PC._sha("'a:' || key")} % greatest(len(fit), 1) + 1] ELSE {PC._sha("'p:' || key")} % (n - {WINDOW}) END AS start FROM z)
+      SELECT split, source, shard, k, start, coalesce(list_contains(o, start), false) AS anchored FROM w""",
 }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from partita.functions import requests as Q
 from partita.functions import selection as S
 from partita.operators import corpus as C
 from partita.plans import corpus as PC
-from partita.plans.notes import NOTES
+from partita.plans.notes import NOTES, _n
 from partita.plans.tokens import _T, _toks
 from partita.tables import table
 
@@ -52,6 +53,19 @@ def feature_rows(s, d):
     return x.select("user_id", F.posexplode("values").alias("i", "value")).select("user_id", F.element_at(F.array(*map(F.lit, keys)), F.col("i") + 1).alias("key"), "value")
 
 
+def chosen_tracks(s, d):
+    """Tracks chosen by requests made from the files' numbers, some of them for tracks that aren't there."""
+    n = _n(s, d)
+    raw = F.when(F.col("file_id") % 4 == 0, "auto").when(F.col("file_id") % 4 == 1, "all").otherwise(F.concat_ws(",", F.lit("0"), F.col("file_id") % 7))
+    r = n.select("file_id").distinct().withColumn("t", Q.track_spec(raw)).select("file_id", "t.kind", "t.tracks")
+    return S.choose_tracks(n, r)
+
+
+def accompany_windows(s, d):
+    """A window of 16 bars for each user in which clicks and views both have four notes, bars of half a day."""
+    return S.accompany_window(_n(s, d), F.col("track_name") == "click", F.col("track_name") == "view", 43_200)
+
+
 def clip_keys(s, d):
     m = table(s, d, "manifest").filter("path is not null and n_notes is not null and duration_seconds is not null and not isnan(duration_seconds)").groupBy("path").agg(F.max("n_notes").alias("n"), F.max("source").alias("s"))
     return m.select("path", S.clip_key(F.col("path"), F.col("s"), F.col("n"), F.col("n") * 2).alias("key"))
@@ -87,7 +101,7 @@ def loss_slot(s, d):
 
 
 QUERIES = {
-    "evaluation_files": evaluation_files, "request_problems": request_problems, "usable_pairs": usable_pairs, "manifest_genres": manifest_genres, "stem_join": stem_join, "feature_rows": feature_rows, "clip_keys": clip_keys,
+    "evaluation_files": evaluation_files, "request_problems": request_problems, "usable_pairs": usable_pairs, "manifest_genres": manifest_genres, "stem_join": stem_join, "feature_rows": feature_rows, "clip_keys": clip_keys, "chosen_tracks": chosen_tracks, "accompany_windows": accompany_windows,
     "decoder_slot": decoder_slot, "loss_slot": loss_slot, "kind_shares": lambda s, d: S.shares(table(s, d, "pair_meta").filter("mode is not null"), "mode"),
 }
 
@@ -107,4 +121,10 @@ ORACLE = {
     "loss_slot": f"""WITH {NOTES}, {_T}, x AS (SELECT file_id, len(ids) AS n, len(list_filter(ids, lambda t: t > 300)) AS k, len(ids) - 2 AS m, len(list_filter(ids[3:], lambda t: t > 300)) AS j FROM ts)
       SELECT file_id, round(-(k * ln(0.25::DOUBLE) + (n - k) * ln(0.5::DOUBLE)) / n, 9) AS loss, round(-(j * ln(0.25::DOUBLE) + (m - j) * ln(0.5::DOUBLE)) / m, 9) AS body_loss FROM x""",
     "kind_shares": "SELECT mode, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 3) AS share FROM pair_meta WHERE mode IS NOT NULL GROUP BY 1",
+    "chosen_tracks": f"""WITH {NOTES}, t AS (SELECT file_id, track_name, count(*) AS n FROM notes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY track_name) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS k, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, track_name) AS by_n FROM t)
+      SELECT file_id, track_name, n, NULL::VARCHAR AS problem FROM r WHERE CASE file_id % 4 WHEN 0 THEN by_n = 1 WHEN 1 THEN true ELSE (i = 0 OR i = file_id % 7) AND file_id % 7 < k END
+      UNION ALL SELECT DISTINCT file_id, NULL, NULL, 'no track ' || (file_id % 7) FROM r WHERE file_id % 4 > 1 AND file_id % 7 >= k""",
+    "accompany_windows": f"""WITH {NOTES}, x AS (SELECT file_id, start // 43200 AS bar, (track_name = 'click')::INT AS c, (track_name = 'view')::INT AS t, max(start // 43200) OVER (PARTITION BY file_id) AS last FROM notes),
+      w AS (SELECT file_id, unnest(range(greatest(0, bar - 15), bar + 1)) AS b0, c, t, last FROM x), g AS (SELECT file_id, b0, sum(c)::BIGINT AS n_condition, sum(t)::BIGINT AS n_target FROM w WHERE b0 + 16 <= last + 1 GROUP BY ALL HAVING sum(c) >= 4 AND sum(t) >= 4)
+      SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY sha1(file_id || ':' || b0), b0) = 1""",
 }

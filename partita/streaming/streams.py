@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from partita.functions.tokens import clean_start, clean_step, decode
+from partita.functions.tokens import clean_start, clean_step, decode, decode_start, decode_step
 
 CHUNK = 16
 
@@ -77,41 +77,49 @@ def vote_log(events: DataFrame) -> DataFrame:
 
 
 class NoteStream(_State):
-    """Notes of a growing token stream, each once.
+    """Notes of a growing token stream, each once, as soon as their last token is there.
 
-    Every CHUNK tokens the whole buffer is decoded and the notes that were not there before are emitted. With
-    strict_compat only the count of emitted notes is kept and the last partial chunk waits for more tokens, as the
-    reference does it: a note that sorts before emitted ones then shifts the rest, and the tail is never emitted.
+    Kept are the decoder's state and the notes of the current bar, so a stream of any length costs the same for each
+    token. With strict_compat the whole stream is kept and decoded anew every CHUNK tokens, only the count of emitted
+    notes is remembered and the last partial chunk waits for more tokens, as the reference does it: a note that sorts
+    before emitted ones then shifts the rest, and the tail is never emitted.
     """
 
     def __init__(self, strict_compat: bool = False):
         self.strict = strict_compat
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        s = self.load({"ids": [], "waiting": 0, "emitted": 0, "known": []})
-        new = sorted((int(p), int(t)) for pdf in rows for p, t in zip(pdf["pos"], pdf["token"]))
+        new = [t for _, t in sorted((int(p), int(t)) for pdf in rows for p, t in zip(pdf["pos"], pdf["token"]))]
+        out = self._strict(new) if self.strict else self._each(new)
+        yield pd.DataFrame([(key[0], *n) for n in out], columns=["stream", "program", "start", "duration", "pitch", "velocity"])
+
+    def _each(self, new: list[int]) -> list[tuple]:
+        s = self.load({"decoder": decode_start(), "bar": 0, "known": []})
+        out, known = [], {tuple(k) for k in s["known"]}
+        for t in new:
+            note = decode_step(s["decoder"], t)
+            if s["decoder"]["bar"] != s["bar"]:
+                s["bar"], known = s["decoder"]["bar"], set()
+            if note and note not in known:
+                known.add(note)
+                out.append(note)
+        s["known"] = sorted(known)
+        self.save(s)
+        return out
+
+    def _strict(self, new: list[int]) -> list[tuple]:
+        s = self.load({"ids": [], "waiting": 0, "emitted": 0})
         out: list[tuple] = []
-        known = {tuple(k) for k in s["known"]}
-        for _, t in new:
+        for t in new:
             s["ids"].append(t)
             s["waiting"] += 1
             if s["waiting"] == CHUNK:
                 s["waiting"] = 0
-                out += self._fresh(s, known)
-        if not self.strict and s["waiting"]:
-            out += self._fresh(s, known)
-        s["known"] = sorted(known)
+                notes = sorted(decode(s["ids"]), key=lambda n: (n[1], n[3]))
+                out += notes[s["emitted"] :]
+                s["emitted"] = len(notes)
         self.save(s)
-        yield pd.DataFrame([(key[0], *n) for n in out], columns=["stream", "program", "start", "duration", "pitch", "velocity"])
-
-    def _fresh(self, s: dict, known: set) -> list[tuple]:
-        notes = sorted(decode(s["ids"]), key=lambda n: (n[1], n[3]))
-        if self.strict:
-            got, s["emitted"] = notes[s["emitted"] :], len(notes)
-            return got
-        got = [n for n in notes if n not in known]
-        known.update(got)
-        return got
+        return out
 
 
 def note_stream(tokens: DataFrame, strict_compat: bool = False) -> DataFrame:
