@@ -173,6 +173,15 @@ def hash_family(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, MERSENNE, size=n, dtype=np.uint64), rng.integers(0, MERSENNE, size=n, dtype=np.uint64)
 
 
+def sorted_within(at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in ascending order within each row `at`, and rows in order. Codes of 48 bits are sorted together with their row as one number."""
+    if len(at) and at.max() < 1 << 15 and code.min() >= 0 and code.max() < 1 << 48:
+        both = np.sort((at.astype(np.int64) << 48) | code)
+        return both >> 48, both & ((1 << 48) - 1)
+    order = np.lexsort((code, at))
+    return at[order], code[order]
+
+
 def shingled(df: DataFrame, key: str, pitches: str, n: int = NGRAM) -> DataFrame:
     """(key, sh): distinct hashes, ascending, of the n-grams of pitch steps: sum of (step + 128) x 131^i. Null pitches are passed over; rows below n + 1 pitches are left out."""
     power = 131 ** np.arange(n, dtype=np.int64)
@@ -190,8 +199,7 @@ def shingled(df: DataFrame, key: str, pitches: str, n: int = NGRAM) -> DataFrame
                 code += (x[i + 1 : i + 1 + len(code)] - x[i : i + len(code)] + 128) * p
             inside = np.arange(len(code)) + n < np.cumsum(size)[at]
             at, code = at[inside], code[inside]
-            order = np.lexsort((code, at))
-            at, code = at[order], code[order]
+            at, code = sorted_within(at, code)
             new = np.ones(len(at), dtype=bool)
             new[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
             at, code = at[new], code[new]
