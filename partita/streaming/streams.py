@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from partita.functions.tokens import clean_start, clean_step, decode, decode_start, decode_step
 
@@ -40,35 +41,65 @@ class _State(StatefulProcessor):
         pass
 
 
-class VoteLog(_State):
+def _order(event: tuple) -> tuple:
+    t, kind, target, value = event
+    return t, kind, str(target), str(value)
+
+
+def _apply(standing: dict, times: list, events: list[tuple]) -> None:
+    """Applies events in the order of their time to the standing votes and their sorted times."""
+    for t, kind, target, value in events:
+        if kind == 0:
+            if t not in standing:
+                bisect.insort(times, t)
+            standing[t] = value
+            continue
+        at = target if target is not None else times[-1] if times else None
+        if at in standing:
+            if kind == 1:
+                standing[at] = value
+            else:
+                del standing[at]
+                del times[bisect.bisect_left(times, at)]
+
+
+class VoteLog(StatefulProcessor):
     """Newest standing vote of each pair under casts, sets and undos arriving in any order.
 
-    All events of the pair are state; every arrival folds them again in the order of their own time and emits the
-    pair's state, so late and repeated rows correct what was emitted before. Take the last row of each pair.
+    Events newer than all before them are applied to the standing votes. A late one makes the pair's events, which are
+    kept as a list, be applied anew in the order of their own time; repeated ones are passed over. So late rows
+    correct what was emitted before: take the last row of each pair. With keep_ms, state that hasn't changed for so
+    long is dropped (needs a time mode).
     """
 
+    EVENT = StructType([StructField("t", LongType()), StructField("kind", IntegerType()), StructField("target", LongType()), StructField("value", StringType())])
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        ttl = () if self.keep_ms is None else (self.keep_ms,)
+        self.events = handle.getListState("events", self.EVENT, *ttl)
+        self.summary = handle.getValueState("summary", StructType([StructField("json", StringType())]), *ttl)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        s = self.load({"events": [], "version": 0})
-        seen = {tuple(e) for e in s["events"]}
-        for pdf in rows:
-            for t, kind, target, value in zip(pdf["t"], pdf["kind"], pdf["target_t"], pdf["value"]):
-                seen.add((int(t), int(kind), None if pd.isna(target) else int(target), value))
-        s["events"] = sorted(seen, key=lambda e: (e[0], e[1], str(e[2]), str(e[3])))
-        s["version"] += 1
-        self.save(s)
-        standing: dict[int, str | None] = {}
-        for t, kind, target, value in s["events"]:
-            if kind == 0:
-                standing[t] = value
-                continue
-            at = target if target is not None else max(standing, default=None)
-            if at in standing:
-                if kind == 1:
-                    standing[at] = value
-                else:
-                    del standing[at]
-        last = max(standing, default=None)
-        yield pd.DataFrame({"pair_id": [key[0]], "choice": [standing.get(last)], "standing": [len(standing)], "version": [s["version"]]})
+        s = json.loads(self.summary.get()[0]) if self.summary.exists() else {"standing": [], "top": None, "version": 0}
+        new = {(int(t), int(kind), None if pd.isna(target) else int(target), None if pd.isna(value) else value) for pdf in rows for t, kind, target, value in zip(pdf["t"], pdf["kind"], pdf["target_t"], pdf["value"])}
+        late = s["top"] is not None and min(map(_order, new)) <= tuple(s["top"])
+        old = {tuple(e) for e in self.events.get()} if late else set()
+        new -= old
+        standing = {} if late and new else dict(map(tuple, s["standing"]))
+        times = sorted(standing)
+        _apply(standing, times, sorted(old | new if late and new else new, key=_order))
+        if new:
+            self.events.appendList([tuple(e) for e in new])
+            s["top"] = max([_order(e) for e in new] + ([tuple(s["top"])] if s["top"] else []))
+        s["standing"], s["version"] = list(standing.items()), s["version"] + 1
+        self.summary.update((json.dumps(s),))
+        yield pd.DataFrame({"pair_id": [key[0]], "choice": [standing[times[-1]] if times else None], "standing": [len(standing)], "version": [s["version"]]})
+
+    def close(self) -> None:
+        pass
 
 
 def vote_log(events: DataFrame) -> DataFrame:

@@ -165,6 +165,27 @@ def test_vote_log_stream(spark, tmp_path, rocks):
     assert (last["p"].choice, last["p"].standing) == ("left", 1) and (last["q"].choice, last["q"].standing) == (None, 0)
 
 
+def test_vote_log_stream_in_any_order_equals_one_pass(spark, tmp_path, rocks):
+    rnd = random.Random(6)
+    events = [("r", 10 * i, 0, None, rnd.choice(["left", "right"])) for i in range(25)] + [("r", rnd.randrange(300), rnd.choice([1, 2]), 10 * rnd.randrange(25) if rnd.random() < 0.5 else None, f"v{i}") for i in range(25)]
+    events = [e if e[2] != 2 else (*e[:4], None) for e in events]
+    standing = {}
+    for _, t, kind, target, value in sorted(set(events), key=lambda e: (e[1], e[2], str(e[3]), str(e[4]))):
+        at = t if kind == 0 else target if target is not None else max(standing, default=None)
+        if kind == 0 or (kind == 1 and at in standing):
+            standing[at] = value
+        elif kind == 2:
+            standing.pop(at, None)
+    rows = events + rnd.sample(events, 20)
+    rnd.shuffle(rows)
+    schema = "pair_id string, t long, kind int, target_t long, value string"
+    for i in range(0, len(rows), 14):
+        spark.createDataFrame(rows[i : i + 14], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "any"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "any"))
+    last = max(_drain(spark, streams.vote_log(src), "any_out", tmp_path, "update"), key=lambda r: r.version)
+    assert (last.choice, last.standing) == (standing[max(standing)], len(standing)) and last.version == 5
+
+
 def test_note_and_token_streams(spark, tmp_path, rocks):
     from partita.functions.tokens import clean_stream, decode, encode
 
