@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partita.operators.components import connected_components, salted_join
+from partita.operators.corpus import sorted_within
 from partita.tables import stash, table, unstash
 
 #: 42 bands of 3 slots: two records with similarity 0.65 share no band with a probability of about 1e-6.
@@ -139,8 +140,7 @@ def runs_of_batch(pitches: pa.ListArray, run: int = RUN) -> tuple[np.ndarray, np
         rows.append(np.full(int(k.sum()), r))
         codes.append(np.repeat(c, k))
     at, code = np.concatenate(rows), np.concatenate(codes)
-    order = np.lexsort((code, at))
-    at, code = at[order], code[order]
+    at, code = sorted_within(at, code)
     new = np.ones(len(at), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
     first = np.flatnonzero(new)
@@ -237,7 +237,7 @@ def _overlap(multiset: bool, run: int):
             for lo in range(0, b.num_rows, PART):
                 part = b.slice(lo, PART)
                 at, code, count = (np.concatenate(x) for x in zip(*(_runs(part.column(c), multiset, run) for c in ("pa", "pb"))))
-                order = np.lexsort((code, at))
+                order = np.argsort((at << 48) | code, kind="stable") if len(code) and 0 <= code.min() and code.max() < 1 << 48 else np.lexsort((code, at))
                 at, code, count = at[order], code[order], count[order]
                 twice = np.flatnonzero((at[1:] == at[:-1]) & (code[1:] == code[:-1]))
                 both = np.bincount(at[twice], np.minimum(count[twice], count[twice + 1]), part.num_rows)
