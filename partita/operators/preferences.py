@@ -74,10 +74,14 @@ def swap_verdict(first: Column, second: Column) -> tuple[Column, Column]:
 
 
 def aggregate_ratings(records: DataFrame) -> DataFrame:
-    """excerpt_id, rating, n: mean rating; a revision discards all that came before it, null ratings count for nothing."""
+    """excerpt_id, rating, n: mean rating; a revision discards all that came before it, null ratings count for nothing. With a column features (a map or array), also the first that isn't empty, of any record."""
     r = records.filter("rating is not null and excerpt_id is not null")
     last = r.groupBy("excerpt_id").agg(F.max(F.when(F.col("revision"), F.col("ord"))).alias("_from"))
-    return r.join(last, "excerpt_id").filter("_from is null or ord >= _from").groupBy("excerpt_id").agg(F.avg("rating").alias("rating"), F.count(F.lit(1)).alias("n"))
+    out = r.join(last, "excerpt_id").filter("_from is null or ord >= _from").groupBy("excerpt_id").agg(F.avg("rating").alias("rating"), F.count(F.lit(1)).alias("n"))
+    if "features" in records.columns:
+        some = records.filter(F.size("features") > 0).groupBy("excerpt_id").agg(F.min_by("features", "ord").alias("features"))
+        out = out.join(some, "excerpt_id", "left")
+    return out
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], out: str, number: str | None = None) -> DataFrame:
@@ -119,9 +123,12 @@ def linear_reward(feats: Column, std: list[float], weights: list[float]) -> Colu
     return F.aggregate(F.zip_with(F.zip_with(feats, s, lambda a, b: a / b), w, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
 
 
-def k3_kl(logp: Column, ref: Column) -> Column:
-    """Mean of exp(d) - d - 1 with d = ref - logp, over the elements."""
+def k3_kl(logp: Column, ref: Column, mask: Column | None = None) -> Column:
+    """Mean of exp(d) - d - 1 with d = ref - logp, over the elements, or those whose mask is true; null if there are none."""
     t = F.zip_with(logp, ref, lambda p, q: F.exp(q - p) - (q - p) - 1)
+    if mask is not None:
+        t = F.transform(F.filter(F.arrays_zip(t.alias("t"), mask.alias("m")), lambda x: x["m"]), lambda x: x["t"])
+        return F.when(F.size(t) > 0, F.aggregate(t, F.lit(0.0), lambda a, v: a + v) / F.size(t))
     return F.aggregate(t, F.lit(0.0), lambda a, v: a + v) / F.size(t)
 
 

@@ -227,3 +227,15 @@ def test_agreement_of_every_component(spark, sf):
     want = {i for r in PP._emb(spark, sf).select("diff").collect() for i, v in enumerate(r[0]) if v}
     got = {r.metric for r in PP.QUERIES["per_metric_agreement"](spark, sf).collect()}
     assert got == want and len(got) == 64
+
+
+def test_ratings_keep_the_first_features(spark):
+    rows = [("a", 3, False, 1, {}), ("a", None, False, 2, {"x": 1.0}), ("a", 5, True, 3, {"x": 2.0}), ("a", 4, False, 4, None), ("b", 2, False, 1, None), (None, 1, False, 1, None)]
+    got = P.aggregate_ratings(spark.createDataFrame(rows, "excerpt_id string, rating int, revision boolean, ord int, features map<string,double>"))
+    assert {r.excerpt_id: (r.rating, r.n, r.features) for r in got.collect()} == {"a": (4.5, 2, {"x": 1.0}), "b": (2.0, 1, None)}
+
+
+def test_masked_divergence(spark):
+    df = spark.createDataFrame([([-1.0, -2.0], [-1.0, -1.0], [True, False]), ([-1.0], [-2.0], [False])], "p array<double>, q array<double>, m array<boolean>")
+    got = df.select(P.k3_kl(F.col("p"), F.col("q")), P.k3_kl(F.col("p"), F.col("q"), F.col("m"))).collect()
+    assert math.isclose(got[0][0], (math.e - 2) / 2) and got[0][1] == 0 and got[1][1] is None
