@@ -199,8 +199,12 @@ def strengths(comparisons: DataFrame, ridge: float = RIDGE, rounds: int = 50, bl
     rhs = F.array(*(F.when(F.col("colour") == k, F.col("sign")).otherwise(0.0) - F.lit(float(mean[k])) for k in used))
     base = colour.join(diagonal(w), "id").select("id", "salts", "d", rhs.alias("r"))
     inverse = _solve(w, base, len(used), block, 1e-6, most)
+    # what an item's own pairs of its colour add to its estimate is known to first order, and taken off
+    at = base.join(colour.select("id", "colour", "sign"), "id").select(F.col("id").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "colour", (F.col("sign") / F.col("d")).alias("v"))
+    near = w.join(at, ["j", "salt"]).groupBy(F.col("i").alias("id"), "colour").agg(F.sum(F.col("w") * F.col("v")).alias("near"))
     least = F.lit((1 - 1 / n_items) ** 2) / (F.col("d") - ridge / n_items)
-    fit = colour.join(inverse, "id").select("id", F.round("s", 9).alias("strength"), F.sqrt(F.greatest(F.col("sign") * F.element_at("x", (F.col("colour") + 1).cast("int")), least)).alias("std_error"))
+    variance = F.col("sign") * (F.element_at("x", (F.col("colour") + 1).cast("int")) - F.coalesce("near", F.lit(0.0)) / F.col("d"))
+    fit = colour.join(inverse, "id").join(near, ["id", "colour"], "left").select("id", F.round("s", 9).alias("strength"), F.sqrt(F.greatest(variance, least)).alias("std_error"))
     out = ranked(items.join(fit, "id").withColumn("_g", F.lit(0)), ["_g"], [F.col("strength").desc(), F.col("item")])
     return out.select("item", "strength", "std_error", "wins", "losses", F.col("pos").alias("rank"))
 
