@@ -84,22 +84,31 @@ def aggregate_ratings(records: DataFrame) -> DataFrame:
     return out
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str], out: str, number: str | None = None) -> DataFrame:
-    """Adds the average rank of value within `by`; a row counts `number` times. Values are counted before they are ranked, over a range partition of all of them, so that a group of any size is spread over many tasks."""
-    n = F.sum(number) if number else F.count(F.lit(1))
-    c = ranked(df.groupBy(*by, value).agg(n.alias("_c")), by, [F.col(value)], weight="_c")
+def average_ranks(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Adds the average rank of value within `by`. Values are counted before they are ranked, over a range partition of all of them, so that a group of any size is spread over many tasks."""
+    c = ranked(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), by, [F.col(value)], weight="_c")
     return df.join(c.select(*by, value, (F.col("start") + (F.col("_c") + 1) / F.lit(2.0)).alias(out)), [*by, value])
 
 
-def spearman(df: DataFrame, a: str, b: str, by: list[str], number: str | None = None) -> DataFrame:
-    """by, n, rho: Pearson correlation of average ranks; NaN for constants or under two rows. A row counts `number` times."""
-    x = average_ranks(average_ranks(df, a, by, "_ra", number), b, by, "_rb", number).withColumn("_w", F.col(number) if number else F.lit(1))
-    mean = lambda p: F.sum(F.col("_w") * p) / F.sum("_w")
-    middle = (F.sum("_w") + 1) / F.lit(2.0)  # the mean of average ranks
-    less = lambda p, q: mean(F.col(p) * F.col(q)) - middle * middle
-    va, vb = less("_ra", "_ra"), less("_rb", "_rb")
-    rho = F.when((va > 1e-6) & (vb > 1e-6), less("_ra", "_rb") / F.sqrt(F.greatest(va * vb, F.lit(1e-300)))).otherwise(F.lit(float("nan")))
-    return x.groupBy(*by).agg(F.sum("_w").cast("long").alias("n"), rho.alias("rho"))
+def _correlated(x: DataFrame, b: str, by: list[str], **sums: Column) -> DataFrame:
+    """by, n, rho, and means of `sums`: rows with the average ranks _ra of one value, against the average ranks of b.
+
+    Rows with one b have one rank, so their number and sums are all that is ranked, and nothing is joined back.
+    """
+    g = x.filter(F.col(b).isNotNull()).groupBy(*by, b).agg(F.count(F.lit(1)).alias("_c"), F.sum("_ra").alias("_a"), F.sum(F.col("_ra") * F.col("_ra")).alias("_aa"), *(F.sum(c).alias(f"_s_{k}") for k, c in sums.items()))
+    r = ranked(g, by, [F.col(b)], weight="_c").withColumn("_rb", F.col("start") + (F.col("_c") + 1) / F.lit(2.0))
+    n = F.sum("_c")
+    middle = (n + 1) / F.lit(2.0)  # the mean of average ranks
+    va, vb = F.sum("_aa") / n - middle * middle, F.sum(F.col("_rb") * F.col("_rb") * F.col("_c")) / n - middle * middle
+    cov = F.sum(F.col("_a") * F.col("_rb")) / n - middle * middle
+    rho = F.when((va > 1e-6) & (vb > 1e-6), cov / F.sqrt(F.greatest(va * vb, F.lit(1e-300)))).otherwise(F.lit(float("nan")))
+    return r.groupBy(*by).agg(n.cast("long").alias("n"), rho.alias("rho"), *((F.sum(f"_s_{k}") / n).alias(k) for k in sums))
+
+
+def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """by, n, rho: Pearson correlation of average ranks; NaN for constants or under two rows. Rows with a null on either side are left out."""
+    whole = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return _correlated(average_ranks(whole, a, by, "_ra"), b, by)
 
 
 def group_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
@@ -200,10 +209,10 @@ def grouped_cv(df: DataFrame, cols: list[str], y: str, group: str, alphas: list[
         return p
 
     every = F.array(*(F.struct(F.lit(float(a)).alias("alpha"), predicted(a).alias("pred")) for a in alphas))
-    preds = x.select(F.col(y).alias("y"), F.explode(every).alias("p")).groupBy("p.alpha", "y", "p.pred").agg(F.count(F.lit(1)).alias("_n"))
-    preds = stash(preds, "predictions")  # equal ones once, with their number
-    mae = preds.groupBy("alpha").agg((F.sum(F.abs(F.col("y") - F.col("pred")) * F.col("_n")) / F.sum("_n")).alias("mae"))
-    return spearman(preds, "y", "pred", ["alpha"], "_n").join(mae, "alpha")
+    one = stash(x.select(F.lit(0).alias("_g"), F.col(y).alias("y"), every.alias("p")), "predictions")
+    one = average_ranks(one, "y", ["_g"], "_ra")  # the same whatever the alpha
+    preds = one.select("y", "_ra", F.explode("p").alias("p")).select("y", "_ra", "p.alpha", "p.pred")
+    return _correlated(preds, "pred", ["alpha"], mae=F.abs(F.col("y") - F.col("pred")))
 
 
 def fit_bt(diffs: np.ndarray, l2: float = 1.0, w: np.ndarray | None = None) -> np.ndarray:
